@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality, urls
+from tessera.llm import bpe, packed, quality, secrets, urls
 from tessera.llm.common import table
 
+#: The tokenizer's vocabulary file.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -29,6 +34,34 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).drop("url")
 
 
-QUERIES = {"op7_quality": op7_quality, "op9_url_filter": op9_url_filter}
+def count_of(column: str, kind: str):
+    return F.size(F.filter(column, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    found = secrets.find_secrets(versions, secrets.BlobLedger(spark, packed.fresh_folder(spark, "ledger")))
+    base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE_KINDS))
+    counts = [count_of("findings", k) for k in secrets.BASE_KINDS]
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("findings")).alias("spans"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = packed.fresh_folder(spark, "tokens")
+    manifest = packed.write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, folder)
+    return packed.read_token_files(spark, manifest, folder)
+
+
+QUERIES = {
+    "op3_secrets": op3_secrets,
+    "op4_bpe": op4_bpe,
+    "op6_packed_ids": op6_packed_ids,
+    "op7_quality": op7_quality,
+    "op9_url_filter": op9_url_filter,
+}
 
 ORACLES: dict[str, str] = {}
