@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packed, pii, quality, secrets, urls
+from tessera.llm import bpe, lm, packed, pii, quality, secrets, urls
 from tessera.llm.common import table
 
 #: The tokenizer's vocabulary file.
@@ -60,12 +60,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op6_packed_ids": op6_packed_ids,
     "op7_quality": op7_quality,
+    "op8_class_lm": op8_class_lm,
     "op9_url_filter": op9_url_filter,
 }
 
