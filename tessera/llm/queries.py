@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lm, packed, pii, quality, secrets, urls
+from tessera.llm import bpe, jaccard, lm, packed, pii, quality, secrets, urls
 from tessera.llm.common import table
 
 #: The tokenizer's vocabulary file.
@@ -64,6 +64,10 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_secrets": op3_secrets,
@@ -72,6 +76,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_class_lm": op8_class_lm,
     "op9_url_filter": op9_url_filter,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
