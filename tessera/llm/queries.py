@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, lm, packed, pii, quality, secrets, urls
+from tessera.llm import bpe, decontaminate, jaccard, lm, packed, pii, quality, secrets, urls, warc
 from tessera.llm.common import table
 
 #: The tokenizer's vocabulary file.
@@ -68,10 +68,37 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+#: In the fixity audit's second replica one stored byte of each such page is flipped.
+DECAY_EVERY, DECAY_AT = 97, 13
+
+
+def decay(page_id: int, stored: bytes, replica: int) -> bytes:
+    if replica == 0 or page_id is None or page_id % DECAY_EVERY != DECAY_AT:
+        return stored
+    at = len(stored) // 2
+    return stored[:at] + bytes([stored[at] ^ 1]) + stored[at + 1 :]
+
+
+def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of an archive of all pages, one decayed: every record as read back, and whether the audit found it intact."""
+    folders = [packed.fresh_folder(spark, f"warc-{k}") for k in range(2)]
+    files = warc.write_archive(table(spark, sf_dir, "pages"), folders, decay)
+    damaged = warc.audit(*[warc.merkle_tree(spark, files, f) for f in folders]).select("file", "idx", F.lit(True).alias("bad"))
+    records = warc.read_records(spark, files, folders[0])
+    out = records.join(damaged, ["file", "idx"], "left")
+    return out.select("page_id", "url", "n_bytes", "sha256", F.col("bad").isNull().alias("intact"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_warc_audit": op2_warc_audit,
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
+    "op5_decontamination": op5_decontamination,
     "op6_packed_ids": op6_packed_ids,
     "op7_quality": op7_quality,
     "op8_class_lm": op8_class_lm,
