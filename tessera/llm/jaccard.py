@@ -5,7 +5,8 @@ least ``PERCENT`` per cent. In a global order of shingles (frequent ones last,
 then by hash) two linked sets share at least l of their first
 ``n - ceil(0.8 n) + l`` shingles, for every l. Each document takes the l that
 minimises its estimated candidate cost, from a bounded table of frequent
-shingles; a pair is verified only if its prefixes share the lesser l.
+shingles; a pair is verified only if its prefixes share the lesser l and what
+lies behind them could hold the rest of the needed overlap.
 
 Equal sets are one node. Prefix postings are shuffled by shingle and sorted;
 each list is first linked as a star around its shortest set, so a list of any
@@ -36,11 +37,12 @@ from tessera.llm.components import components
 from tessera.llm.urls import _bits, build_filter
 
 SHINGLE, PERCENT = 5, 80
-#: Frequent shingles: those found ``LOCAL`` times among ``CHUNK`` shingles of a task, counted together; a table of 2**CELL_BITS bytes is broadcast.
-CHUNK, LOCAL, CELL_BITS = 2_000_000, 4, 20
+#: Frequent shingles are counted where they occur ``LOCAL`` times among ``CHUNK`` shingles of a task; a sum of ``FREQUENT``
+#: or more marks them in a table of 2**CELL_BITS bytes. A shingle of d texts in c chunks is missed only if d is below about sqrt(6 c).
+CHUNK, LOCAL, FREQUENT, CELL_BITS = 2_000_000, 2, 8, 20
 MAX_MATCH, VERIFY_COST = 4, 8
 #: All pairs between components are made once they are at most so many per posting; before that, stars.
-CROSS_PER_POSTING, MAX_STARS = 2, 12
+CROSS_PER_POSTING, MAX_STARS = 4, 6
 
 _ODD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _word_hash = _Cache(xxhash.xxh3_64_intdigest)
@@ -84,7 +86,7 @@ def choose_match(level: np.ndarray) -> int:
     n = len(level)
     if not level.any():
         return 1
-    cum = np.cumsum(np.where(level > 0, np.exp2(level), 0.0))
+    cum = np.cumsum(np.where(level > 0, np.exp2(level.astype(np.float64)), 0.0))
     best, cost = 1, None
     for m in range(1, min(MAX_MATCH, needed(n)) + 1):
         postings = cum[n - needed(n) + m - 1]
@@ -124,7 +126,7 @@ def frequent_levels(docs: DataFrame) -> np.ndarray:
                     n = 0
         yield rows()
 
-    tokens = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     cell = F.shiftrightunsigned("token", 64 - CELL_BITS)
     cells = tokens.groupBy(cell.alias("cell")).agg(F.max("n").alias("n"))
     out = np.zeros(1 << CELL_BITS, np.int8)
@@ -169,8 +171,8 @@ def prefixes(docs: DataFrame, levels) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, l int, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, levels) -> DataFrame:
-    """node, n, l, p (prefix length) and the whole set in order, for at least the given nodes (node, doc_id).
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n and the whole set s of the given nodes (node, doc_id).
 
     Only texts whose document id passes a bounded Bloom filter of the wanted
     ids are cut into shingles again; no text is shuffled or stored.
@@ -180,7 +182,6 @@ def sets_of(docs: DataFrame, nodes: DataFrame, levels) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(None if blocks is None else blocks.tobytes())
 
     def run(batches):
-        table = np.frombuffer(levels.value, np.int8)
         bloom = None if shared.value is None else np.frombuffer(shared.value, np.uint64).reshape(-1, 4)
         done = set()
         for batch in batches:
@@ -193,33 +194,77 @@ def sets_of(docs: DataFrame, nodes: DataFrame, levels) -> DataFrame:
                 if not len(s) or (key := set_id(s)) in done:
                     continue
                 done.add(key)
-                s, level = ordered(s, table)
-                m = choose_match(level)
-                rows.append((key, len(s), m, len(s) - needed(len(s)) + m, s.view(np.int64)))
+                rows.append((key, len(s), s.view(np.int64)))
                 if sum(r[1] for r in rows) > 500_000:
                     yield _set_rows(rows)
                     rows = []
             if rows:
                 yield _set_rows(rows)
 
-    found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "node long, n long, l int, p int, s array<long>")
+    found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "node long, n long, s array<long>")
     return cut(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["node", "n", "l", "p", "s"])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["node", "n", "s"])
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, least: int, table: np.ndarray) -> bool:
+    """Whether two prefixes share ``least`` shingles and leave room for the overlap that a link needs.
+
+    Up to the earlier of the two last prefix shingles both sets are known, so
+    no more can be common than what is there and the smaller of the two rests.
+    """
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    if shared < least:
+        return False
 
+    def key(s):
+        return table[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (x, y) those that link: first the prefixes must share the lesser l, then the whole sets are compared."""
-    left = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), F.col("p").alias("px"), F.col("s").alias("sx"))
-    right = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("l").alias("ly"), F.col("p").alias("py"), F.col("s").alias("sy"))
-    both = pairs.join(right, "y").join(left, "x")
-    shared = F.size(F.array_intersect(F.slice("sx", 1, F.col("px")), F.slice("sy", 1, F.col("py"))))
+    kx, ky = key(x), key(y)
+    if (kx[-1], x[-1]) <= (ky[-1], y[-1]):
+        cx, cy = len(x), int(((ky < kx[-1]) | ((ky == kx[-1]) & (y <= x[-1]))).sum())
+    else:
+        cx, cy = int(((kx < ky[-1]) | ((kx == ky[-1]) & (x <= y[-1]))).sum()), len(y)
+    most = shared + min(nx - cx, ny - cy)
+    return most * 100 >= (nx + ny - most) * PERCENT
+
+
+def screened(pairs: DataFrame, heads: DataFrame, levels) -> DataFrame:
+    """Pairs (x, y) whose prefixes, from ``heads`` (node, n, l, prefix), allow a link."""
+    ends = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    some = cut(heads.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    left = some.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), F.col("prefix").alias("px"))
+    right = some.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("l").alias("ly"), F.col("prefix").alias("py"))
+
+    def run(batches):
+        table = np.frombuffer(levels.value, np.int8)
+        for batch in batches:
+            def arrays(name):
+                col = batch.column(name)
+                values, offsets = col.values.to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
+                return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+            numbers = [batch.column(c).to_pylist() for c in ("nx", "ny", "least")]
+            fits = [may_link(*row, table) for row in zip(arrays("px"), arrays("py"), *numbers)]
+            yield batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
+
+    both = pairs.join(right, "y").join(left, "x").select("x", "y", "nx", "ny", F.least("lx", "ly").alias("least"), "px", "py")
+    return both.mapInArrow(run, "x long, y long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, levels) -> DataFrame:
+    """Of the pairs (x, y) those that link: their prefixes are compared first, then the whole sets of those left."""
+    heads = rows.where("prefix is not null").select("node", "n", "l", "prefix")
+    left = cut(screened(pairs, heads, levels))
+    ends = left.select(F.col("x").alias("node")).union(left.select("y")).distinct()
+    sets = sets_of(docs, rows.where("node is not null").select("node", "doc_id").join(ends, "node", "left_semi"))
+    a = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"))
+    b = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
     inter = F.size(F.array_intersect("sx", "sy")).cast("long")
-    fits = F.when(shared >= F.least("lx", "ly"), inter * 100 >= (F.col("nx") + F.col("ny") - inter) * PERCENT).otherwise(False)
-    return both.where(fits).select("x", "y")
+    return left.join(b, "y").join(a, "x").where(inter * 100 >= (F.col("nx") + F.col("ny") - inter) * PERCENT).select("x", "y")
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -231,18 +276,15 @@ def link_components(docs: DataFrame) -> DataFrame:
     by_list = Window.partitionBy("token").orderBy("n", "node")
     hubs = postings.withColumn("hub", F.first(F.struct("node", "n", "l")).over(by_list)).withColumn("last", F.lag("node").over(by_list))
     stars = cut(hubs.where("hub.node <> node and last <> node").select("token", "hub", "node", "n", "l"))
-    members = stars.select("token", "node", "n", "l").union(stars.select("token", "hub.*").distinct())
+    # every pair of a hub is tried (or unfit by size), so the lists go on without their hubs
+    members = stars.select("token", "node", "n", "l")
     sizes_fit = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
     first = stars.where(sizes_fit(F.col("hub.n"), F.col("n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     tried = cut(first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
     n_postings = stars.count()
-    sets = None
     found = spark.createDataFrame([], "v long, c long")
     if n_postings:
-        in_lists = members.select("node").distinct()
-        copies = rows.where("node is not null").select("node", "doc_id")
-        sets = sets_of(docs, copies.join(in_lists, "node", "left_semi"), levels)
-        found = cut(components(verified(tried, sets), "x", "y"))
+        found = cut(components(verified(tried, docs, rows, levels), "x", "y"))
     for step in range(MAX_STARS + 1 if n_postings else 0):
         labelled = members.join(found.withColumnRenamed("v", "node"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         shares = labelled.groupBy("token", "c").agg(F.count("*").alias("k"))
@@ -262,7 +304,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         counted = made.distinct().groupBy("x", "y", "least").agg(F.count("*").alias("k"))
         fresh = (counted.where("k >= least") if last else counted).select("x", "y").join(tried, ["x", "y"], "left_anti")
         fresh = cut(fresh)
-        found = cut(components(verified(fresh, sets), "x", "y", known=found))
+        found = cut(components(verified(fresh, docs, rows, levels), "x", "y", known=found))
         if last:
             break
         tried = cut(tried.union(fresh))
