@@ -19,6 +19,7 @@ text; an empty table gives no file.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import _Cache
+from tessera.llm.bpe import encoder
 from tessera.llm.common import cut, shared_dir
 
 MAGIC, BLOCK = b"TPK1", 8192
@@ -125,18 +126,81 @@ class PackedReader:
         return out[start - first * self.block : end - first * self.block]
 
 
-def library_encoder(path: str):
-    """Bytes of a text -> ids as uint32, by the tokenizers library; pieces between ASCII white space are cached."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    cache = _Cache(lambda piece: np.array(tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes())
-    return (lambda text: np.frombuffer(b"".join(map(cache.__getitem__, text.split())), "<u4")), tokenizer.get_vocab_size()
+class LibraryEncoder:
+    """Ids of texts by the tokenizers library, with bounded caches.
 
+    Pieces between ASCII white space are cached. New pieces of plain Latin
+    letters and punctuation are cut into pre-tokens, and those not seen before
+    are encoded in one call, separated by spaces; the end-of-word tokens tell
+    their ids apart. Any other piece goes to the library as it is.
+    """
 
-_ENCODERS: dict[str, tuple] = {}
+    PIECES, TOKENS = 600_000, 400_000
+    #: Characters that are their own NFC, before and after lower-casing.
+    PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.vocabulary = self.library.get_vocab_size()
+        own = encoder(path)
+        self.cut = own.pieces.findall if own.end else None
+        self.last = np.array([s.endswith(own.end) and bool(own.end) for s in own.strings])
+        self.pieces: dict[bytes, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, new: set[bytes]) -> None:
+        plans, unseen = [], set()
+        for piece in new:
+            s = piece.decode("utf-8", "replace")
+            if self.cut is None or "<|" in s or not self.PLAIN.fullmatch(s):
+                self.pieces[piece] = self._ids(s).tobytes()
+                continue
+            low = s.lower()
+            parts = [low] if low.isalpha() else self.cut(low)
+            plans.append((piece, parts))
+            unseen.update(p for p in parts if p not in self.tokens)
+        if unseen:
+            words = list(unseen)
+            ids = self._ids(" ".join(words))
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(words):
+                raise ValueError("the library cut a pre-token")
+            raw = ids.tobytes()
+            for w, a, b in zip(words, [0, *ends], ends):
+                self.tokens[w] = raw[4 * a : 4 * b]
+        for piece, parts in plans:
+            self.pieces[piece] = self.tokens[parts[0]] if len(parts) == 1 else b"".join([self.tokens[p] for p in parts])
+
+    def encode_all(self, texts: list[bytes]):
+        """uint32 ids of each UTF-8 text, in groups of about a hundred thousand characters."""
+        group, size = [], 0
+        for text in [*texts, None]:
+            if text is None or size > 400_000:
+                if len(self.pieces) > self.PIECES:
+                    self.pieces.clear()
+                if len(self.tokens) > self.TOKENS:
+                    self.tokens.clear()
+                new = set()
+                for words in group:
+                    new.update(words)
+                new.difference_update(self.pieces)
+                self._learn(new)
+                for words in group:
+                    yield np.frombuffer(b"".join(map(self.pieces.__getitem__, words)), "<u4")
+                group, size = [], 0
+            if text is not None:
+                group.append(text.split())
+                size += len(text)
+
+
+_ENCODERS: dict[str, LibraryEncoder] = {}
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | None = 2) -> DataFrame:
@@ -144,19 +208,20 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
 
     def run(batches):
         if path not in _ENCODERS:
-            _ENCODERS[path] = library_encoder(path)
-        encode, vocabulary = _ENCODERS[path]
+            _ENCODERS[path] = LibraryEncoder(path)
+        coder = _ENCODERS[path]
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         store, root = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name, writer, stream = f"part-{part:06d}-{uuid.uuid4().hex}.tpk", None, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode_all(texts)):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     stream = store.open_output_stream(f"{root}/{name}")
-                    writer = PackedWriter(stream, bit_width(vocabulary))
-                writer.add(doc_id, np.concatenate([encode(text or b""), tail]))
+                    writer = PackedWriter(stream, bit_width(coder.vocabulary))
+                writer.add(doc_id, np.concatenate([ids, tail]))
         if writer is not None:
             writer.close()
             stream.close()
