@@ -100,7 +100,10 @@ class BlobLedger:
         one = addressed.join(todo.hint("shuffle_hash"), (F.col("path").eqNullSafe(F.col("first"))) & (F.col("blob") == F.col("b")))
 
         def run(batches):
+            done = set()  # rows that repeat a path and its content meet in one task
             for batch in batches:
+                ids = batch.column("blob").to_pylist()
+                batch = batch.filter(pa.array([not (b in done or done.add(b)) for b in ids], pa.bool_()))
                 blobs, out = batch.column("blob"), []
                 for content, todo_ in zip(batch.column("content").cast(pa.binary()).to_pylist(), batch.column("todo").to_pylist()):
                     out.append(scan(content, todo_))
