@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, jaccard, lm, packed, pii, quality, secrets, urls, warc
+from tessera.llm import bpe, decontaminate, jaccard, lm, oracles, packed, pii, quality, secrets, urls, warc
 from tessera.llm.common import table
 
 #: The tokenizer's vocabulary file.
@@ -106,4 +106,10 @@ QUERIES = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others (a tagger, span offsets, tokenizers, edit matching, clustering) are beyond SQL and are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_warc_audit": oracles.WARC,
+    "op7_quality": oracles.QUALITY,
+    "op9_url_filter": oracles.urls(RULES, LISTED),
+    "op10_jaccard": oracles.JACCARD,
+}
