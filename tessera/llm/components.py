@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 
 
+#: Up to so many pairs the steps run in one partition, without shuffles.
+SMALL = 50_000
+
+
 def _minima(pairs: DataFrame) -> DataFrame:
     """Each (u, v) with m, the least of u and all its v; the minimum is pre-aggregated, so a hub is no hot group."""
     least = pairs.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
@@ -31,10 +35,12 @@ def components(links: DataFrame, a: str, b: str, known: DataFrame | None = None)
     pairs = cut(pairs.distinct())
     before = _digest(pairs)
     while before[0]:
-        both = pairs.union(pairs.select("v", "u"))
+        pairs = pairs.coalesce(1) if before[0] <= SMALL else pairs
+        both = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.*")
         large = _minima(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         ranked = _minima(large)
-        small = ranked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(ranked.select("u", "m")).where("u <> v").distinct()
+        two = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")
+        small = ranked.select(two).select("p.*").where("u <> v").distinct()
         pairs = cut(small)
         now = _digest(pairs)
         if now == before:

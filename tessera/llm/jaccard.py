@@ -41,8 +41,8 @@ SHINGLE, PERCENT = 5, 80
 #: or more marks them in a table of 2**CELL_BITS bytes. A shingle of d texts in c chunks is missed only if d is below about sqrt(6 c).
 CHUNK, LOCAL, FREQUENT, CELL_BITS = 2_000_000, 2, 8, 20
 MAX_MATCH, VERIFY_COST = 4, 8
-#: All pairs between components are made once they are at most so many per posting; before that, stars.
-CROSS_PER_POSTING, MAX_STARS = 4, 6
+#: All pairs between components are made once they are at most so many per posting, or stars no longer halve them.
+CROSS_PER_POSTING, MAX_STARS = 4, 4
 
 _ODD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _word_hash = _Cache(xxhash.xxh3_64_intdigest)
@@ -285,6 +285,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     found = spark.createDataFrame([], "v long, c long")
     if n_postings:
         found = cut(components(verified(tried, docs, rows, levels), "x", "y"))
+    cost = None
     for step in range(MAX_STARS + 1 if n_postings else 0):
         labelled = members.join(found.withColumnRenamed("v", "node"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         shares = labelled.groupBy("token", "c").agg(F.count("*").alias("k"))
@@ -293,7 +294,9 @@ def link_components(docs: DataFrame) -> DataFrame:
         lists = live.groupBy("token").agg(F.max("cost").alias("cost")).agg(F.count("*"), F.sum("cost")).first()
         if not lists[0]:
             break
-        last = lists[1] <= max(100_000, CROSS_PER_POSTING * n_postings) or step == MAX_STARS
+        stuck = cost is not None and lists[1] * 2 > cost
+        cost = lists[1]
+        last = cost <= max(100_000, CROSS_PER_POSTING * n_postings) or stuck or step == MAX_STARS
         others = live.where("c <> main")
         if not last:
             others = others.groupBy("token").agg(F.min(F.struct("n", "node", "l", "c")).alias("o")).select("token", "o.*")
