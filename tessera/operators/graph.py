@@ -144,3 +144,114 @@ def triangles(edges: DataFrame) -> DataFrame:
     closed = e.select(F.col("u").alias("b"), F.col("v").alias("c"))
     rows = wedge.join(closed, ["b", "c"]).select(F.array_sort(F.array("a", "b", "c")).alias("t"))
     return rows.select(F.get("t", F.lit(0)).alias("a"), F.get("t", F.lit(1)).alias("b"), F.get("t", F.lit(2)).alias("c"))
+
+
+def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(node, component) by synchronous label propagation: the most frequent label around a node, least at ties."""
+    e = distinct_edges(edges).where("src <> dst")
+    both = cut(e.union(e.select("dst", "src")).distinct())
+    labels = cut(nodes(edges).withColumn("component", F.col("node")))
+    for _ in range(rounds):
+        votes = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "component").agg(F.count("*").alias("n"))
+        best = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("b")).select("src", (-F.col("b.c")).alias("new"))
+        step = cut(labels.join(best, labels["node"] == best["src"], "left").select("node", "component", F.coalesce("new", "component").alias("new")))
+        changed = not step.where("component <> new").isEmpty()
+        labels = step.select("node", F.col("new").alias("component"))
+        if not changed:
+            break
+    return labels
+
+
+def eigenvector(edges: DataFrame, iterations: int = 50) -> DataFrame:
+    """(node, score) of the power iteration over incoming edges, scaled to unit length each round."""
+    e = cut(distinct_edges(edges))
+    score = nodes(edges).withColumn("score", F.lit(1.0))
+    all_nodes = cut(nodes(edges))
+    for _ in range(iterations):
+        got = e.join(score, e["src"] == score["node"]).groupBy("dst").agg(F.sum("score").alias("s"))
+        raw = cut(all_nodes.join(got, all_nodes["node"] == got["dst"], "left").select("node", F.coalesce("s", F.lit(0.0)).alias("score")))
+        size = raw.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
+        score = raw.withColumn("score", F.col("score") / size)
+    return score
+
+
+def dijkstra(edges: DataFrame, start, weight: str = "w") -> DataFrame:
+    """(node, cost) of the cheapest paths from ``start`` over non-negative weights, by relaxing improved nodes only."""
+    e = cut(edges.select("src", "dst", F.col(weight).cast("double").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    kind = e.schema["src"].dataType.simpleString()
+    best = front = edges.sparkSession.createDataFrame([(start, 0.0)], f"node {kind}, cost double")
+    while True:
+        step = front.join(e, front["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
+        front = cut(step.join(best, "node", "left").where("cost is null or new < cost").select("node", F.col("new").alias("cost")))
+        if front.isEmpty():
+            return best
+        best = cut(best.unionAll(front).groupBy("node").agg(F.min("cost").alias("cost")))
+
+
+def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
+    """Edges (a, b, w) of a minimum spanning forest, by Borůvka rounds; ties go to the least (a, b)."""
+    e = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col(weight).cast("double").alias("w")).groupBy("a", "b").agg(F.min("w").alias("w")))
+    labels = nodes(edges).select("node", F.col("node").alias("component"))
+    tree = None
+    while True:
+        la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+        cross = cut(e.join(la, "a").join(lb, "b").where("ca <> cb"))
+        if cross.isEmpty():
+            return tree if tree is not None else e.where("false")
+        ends = cross.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("w", "a", "b").alias("e"))
+        chosen = ends.groupBy("c").agg(F.min("e").alias("e")).select(F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("e.w").alias("w")).distinct()
+        tree = cut(chosen if tree is None else tree.union(chosen).distinct())
+        linked = tree.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(nodes(edges).select(F.col("node").alias("src"), F.col("node").alias("dst")))
+        labels = connected_components(linked)
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
+    """(node, betweenness) / ((n - 1)(n - 2)): path counts per source, one task per source.
+
+    The edge list is sent whole to every source's task, so it is bounded at
+    ``MAX_BETWEENNESS_EDGES``.
+    """
+    import pandas as pd
+
+    e = distinct_edges(edges)
+    n_edges = e.count()
+    if n_edges > MAX_BETWEENNESS_EDGES:
+        raise ValueError(f"betweenness takes at most {MAX_BETWEENNESS_EDGES} edges")
+    out: dict = {}
+    for r in e.toLocalIterator():
+        out.setdefault(r.src, []).append(r.dst)
+    shared = edges.sparkSession.sparkContext.broadcast(out)
+    n = nodes(edges).count()
+    kind = e.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        near = shared.value
+        for pdf in batches:
+            total: dict = {}
+            for s in pdf["node"]:
+                dist, paths, order, back, i = {s: 0}, {s: 1.0}, [s], {}, 0
+                while i < len(order):
+                    v = order[i]
+                    i += 1
+                    for w in near.get(v, ()):
+                        if w not in dist:
+                            dist[w] = dist[v] + 1
+                            paths[w] = 0.0
+                            order.append(w)
+                        if dist[w] == dist[v] + 1:
+                            paths[w] += paths[v]
+                            back.setdefault(w, []).append(v)
+                part = dict.fromkeys(order, 0.0)
+                for w in reversed(order):
+                    for v in back.get(w, ()):
+                        part[v] += paths[v] / paths[w] * (1 + part[w])
+                    if w != s:
+                        total[w] = total.get(w, 0.0) + part[w]
+            yield pd.DataFrame({"node": list(total), "x": list(total.values())})
+
+    sums = nodes(edges).repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"node {kind}, x double").groupBy("node").agg(F.sum("x").alias("x"))
+    scale = max(1, (n - 1) * (n - 2))
+    return nodes(edges).join(sums, "node", "left").select("node", (F.coalesce("x", F.lit(0.0)) / scale).alias("betweenness"))
+
+
+MAX_BETWEENNESS_EDGES = 1_000_000

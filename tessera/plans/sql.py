@@ -192,6 +192,6 @@ def explain_tier(df: DataFrame) -> dict:
     for i, nodes in enumerate((r"Relation|LocalRelation", r"Project|Filter", r"Generate|Sort|Limit", r"Aggregate|Join|Window|Distinct", r"Python|Pandas|Arrow|InPandas")):
         if re.search(rf"\b(?:{nodes})\b|(?:{nodes})", text):
             tier = i
-    size = int(plan.stats().sizeInBytes().toString())
+    size = int(str(plan.stats().sizeInBytes()))
     rows = plan.stats().rowCount()
-    return {"operation": text.split(" ")[0].split("\n")[0], "estimated_cost": size, "estimated_rows": int(rows.get().toString()) if rows.isDefined() else None, "cascade_tier": TIERS[tier]}
+    return {"operation": text.split(" ")[0].split("\n")[0], "estimated_cost": size, "estimated_rows": int(str(rows.get())) if rows.isDefined() else None, "cascade_tier": TIERS[tier]}

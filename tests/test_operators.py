@@ -36,9 +36,8 @@ def test_cycle_terminates(spark):
 
 def test_fill_and_interpolate(spark):
     df = spark.createDataFrame([(0, 1.0), (3, 4.0)], "s long, value double").select(F.timestamp_seconds("s").alias("ts"), "value")
-    got = [r.value for r in ts.filled(df, [], "ts", "value", 1_000_000, "mean", "linear").orderBy("bucket").collect()] if False else None
     out = ts.filled(df.withColumn("k", F.lit(1)), ["k"], "ts", "value", 1_000_000, "mean", "linear").orderBy("bucket").collect()
-    assert got is None and [r.value for r in out] == [1.0, 2.0, 3.0, 4.0]
+    assert [r.value for r in out] == [1.0, 2.0, 3.0, 4.0]
     prev = ts.filled(df.withColumn("k", F.lit(1)), ["k"], "ts", "value", 1_000_000, "mean", "previous").orderBy("bucket").collect()
     assert [r.value for r in prev] == [1.0, 1.0, 1.0, 4.0]
 
@@ -132,3 +131,27 @@ def test_change_feed_and_counters(spark):
     parts = spark.createDataFrame([("c", "a", 3), ("c", "a", 5), ("c", "b", 2)], "counter string, replica string, n long")
     assert st.merge_counters(parts).first().value == 7
     assert math.isclose(st.decay_at(0), 1.0)
+
+
+def test_weighted_graphs(spark, edges):
+    w = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 2.0)], "src long, dst long, w double")
+    assert {(r.node, r.cost) for r in graph.dijkstra(w, 1).collect()} == {(1, 0.0), (2, 1.0), (3, 2.0), (4, 4.0)}
+    assert {(r.a, r.b) for r in graph.spanning_forest(w).collect()} == {(1, 2), (2, 3), (3, 4)}
+    b = {r.node: r.betweenness for r in graph.betweenness(edges).collect()}
+    assert b[4] == pytest.approx(3 / 12) and b[2] == pytest.approx(1 / 12) and b[1] == 0
+
+
+def test_tables(spark):
+    from tessera.operators import tables
+
+    df = spark.createDataFrame([(1, "a", 10), (1, "b", 20), (2, "a", None)], "k long, c string, v long")
+    assert {(r.constraint, r.n) for r in tables.violations(df, unique=["k"], not_null=["v"], check="k < 2").collect()} == {("unique", 1), ("not null v", 1), ("check k < 2", 1)}
+    m = tables.MaterialisedAggregate(lambda: df, "k", "v")
+    assert m.can_answer("k", "v", "SUM") and {(r.k, r["sum"]) for r in m.read().collect()} == {(1, 30), (2, None)}
+    total = tables.pivot_with_totals(df, "k", "c", "v", ["a", "b"]).where("is_total = 1").first()
+    assert (total.a, total.b, total.total) == (10, 20, 30)
+    seen = []
+    t = tables.Triggers()
+    t.add("BEFORE", "INSERT", lambda d: d.where("v > 10"))
+    assert t.write("INSERT", df, lambda d: seen.append(d.count())) and seen == [1]
+    assert [len(r.rows) for r in tables.reverse_reference(spark.createDataFrame([(1,), (3,)], "id long"), "id", df, "k", "rows").orderBy("id").collect()] == [2, 0]
