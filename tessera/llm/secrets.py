@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed patterns: kind, version, pattern, group to measure, least length.
+from tessera.llm.common import cut
+
 BASE_KINDS = ("assign", "access", "hex")
+#: So many findings at most (about 80 bytes each) are broadcast to the paths; beyond, both are shuffled by blob.
+MAX_BROADCAST_FINDINGS = 100_000
+#: Fixed patterns: kind, version, pattern, group to measure, least length.
 RULES = {
     "assign": (1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     "access": (1, r"AKIA[A-Z0-9]+", 0, 18),
@@ -129,7 +133,9 @@ def address(versions: DataFrame) -> DataFrame:
 def find_secrets(versions: DataFrame, ledger: BlobLedger, rules: list[str] | None = None) -> DataFrame:
     """path, blob and findings of every row of ``versions`` (path, content), by way of the ledger."""
     ledger.update(versions, rules)
-    found = ledger.findings(rules).withColumnRenamed("blob", "b")
+    found = cut(ledger.findings(rules).withColumnRenamed("blob", "b"))
+    if (found.agg(F.sum(F.size("findings"))).first()[0] or 0) <= MAX_BROADCAST_FINDINGS:
+        found = F.broadcast(found)  # copies of one blob then stay where they are
     paths = address(versions).select("path", "blob")
     return paths.join(found, F.col("blob") == F.col("b"), "left").select("path", "blob", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias("findings"))
 
