@@ -22,7 +22,7 @@ import unicodedata
 import regex
 
 #: Pieces kept in a worker's cache, and the longest piece kept.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+CACHE_PIECES, CACHE_BYTES = 600_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -107,6 +107,8 @@ class BytePairEncoder:
         for k, part in enumerate(self.special_cut.split(text) if self.special_cut else [text]):
             if k % 2:
                 out.append(self.specials[part])
+            elif part.isascii() and part.isalpha():
+                out += self.tokens[part.lower()]
             elif part:
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # lower case letter by letter: no final sigma
                 for w in self.pieces.findall(low):
