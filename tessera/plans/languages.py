@@ -11,7 +11,7 @@ from tessera.plans.datalog import run_datalog
 from tessera.plans.gremlin import run_gremlin
 from tessera.plans.metrics import GraphQL, run_cql, run_influx, run_promql
 from tessera.plans.registry import query, sql, table, use_tables
-from tessera.plans.sigql import run_sigql
+from tessera.plans.signal_language import run_signal
 from tessera.plans.sparql import run_sparql
 from tessera.streaming import windows as st
 
@@ -234,20 +234,20 @@ def change_feed(spark, sf_dir):
 @query("sig_aggregates", """
 SELECT user_id, round(avg(value), 6) AS mean, round(sqrt(avg(value * value)), 6) AS rms, max(value) AS peak, round(max(value) - min(value), 6) AS p2p, round(regr_slope(value, epoch_us(ts) / 1e6) * 1e6, 5) AS slope FROM events GROUP BY user_id""")
 def sig_aggregates(spark, sf_dir):
-    out = run_sigql(spark, "FROM events CHANNEL user_id TIME ts VALUE value AGGREGATE mean, rms, peak, peak_to_peak AS p2p, slope", {"events": table(spark, sf_dir, "events")})
+    out = run_signal(spark, "FROM events CHANNEL user_id TIME ts VALUE value AGGREGATE mean, rms, peak, peak_to_peak AS p2p, slope", {"events": table(spark, sf_dir, "events")})
     return out.select("user_id", F.round("mean", 6).alias("mean"), F.round("rms", 6).alias("rms"), "peak", F.round("p2p", 6).alias("p2p"), F.round(F.col("slope") * 1e6, 5).alias("slope"))
 
 
 @query("sig_zscore_diff", "SELECT event_id, round(z - lag(z) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS value FROM (SELECT event_id, user_id, ts, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z FROM events WINDOW w AS (PARTITION BY user_id))")
 def sig_zscore_diff(spark, sf_dir):
-    out = run_sigql(spark, "FROM events CHANNEL user_id TIME ts VALUE value ORDER event_id TRANSFORM zscore, diff", {"events": table(spark, sf_dir, "events")})
+    out = run_signal(spark, "FROM events CHANNEL user_id TIME ts VALUE value ORDER event_id TRANSFORM zscore, diff", {"events": table(spark, sf_dir, "events")})
     return out.select("event_id", F.round("value", 6).alias("value"))
 
 
 @query("sig_window_interpret", """
 SELECT user_id, (epoch_us(ts) // 86400000000) * 86400000000 AS window_start, round(avg(value), 6) AS m, CASE WHEN avg(value) > 20 THEN 'high' END AS interpretation FROM events GROUP BY ALL""")
 def sig_window(spark, sf_dir):
-    out = run_sigql(spark, "FROM events CHANNEL user_id TIME ts VALUE value WINDOW TUMBLING 1d AGGREGATE mean AS m INTERPRET m > 20 AS 'high' SEVERITY 2", {"events": table(spark, sf_dir, "events")})
+    out = run_signal(spark, "FROM events CHANNEL user_id TIME ts VALUE value WINDOW TUMBLING 1d AGGREGATE mean AS m INTERPRET m > 20 AS 'high' SEVERITY 2", {"events": table(spark, sf_dir, "events")})
     return out.select("user_id", "window_start", F.round("m", 6).alias("m"), "interpretation")
 
 

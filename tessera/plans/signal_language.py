@@ -28,7 +28,7 @@ def clauses(text: str) -> dict[str, list[str]]:
     return out
 
 
-def run_sigql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+def run_signal(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
     c = clauses(text)
     source = re.match(r"(\w+)(?:\s+CHANNEL\s+(\w+))?(?:\s+TIME\s+(\w+))?(?:\s+VALUE\s+(\w+))?(?:\s+ORDER\s+(\w+))?$", c["FROM"][0], re.I)
     df, channel, time, value = tables[source[1]], source[2] or "channel", source[3] or "ts", source[4] or "value"
