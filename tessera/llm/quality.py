@@ -33,6 +33,8 @@ FENCE = 3
 LENGTH_MIN_WORDS = 50
 #: measure -> least spread in its own unit; lower fences only for word length.
 LEAST_SPREAD = {"symbol": 50, "dup_line": 100, "repeat": 30, "length": 50}
+#: Least upper fences of ``filter_quality`` (per mille): the base rule's share of repeated words, and half the lines.
+LEAST_FENCE = {"repeat": MAX_REPEAT_PERCENT * 10, "dup_line": 500}
 #: Thresholds are broadcast up to so many rows; beyond, a plain join is used.
 MAX_BROADCAST_ROWS = 20_000
 
@@ -120,8 +122,11 @@ def quartiles(histogram: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def thresholds(histogram: DataFrame) -> DataFrame:
-    """One row per (lang, source): struct columns lo and hi per measure, by the finest level with enough texts."""
+def thresholds(histogram: DataFrame, least_fence: dict[str, int] | None = None) -> DataFrame:
+    """One row per (lang, source): columns lo and hi per measure, by the finest level with enough texts.
+
+    No upper fence is below its measure's ``least_fence``.
+    """
     by_lang = histogram.groupBy("lang", "name", "b").agg(F.sum("c").alias("c"))
     by_all = by_lang.groupBy("name", "b").agg(F.sum("c").alias("c"))
     fine = quartiles(histogram, ["lang", "source"]).alias("f")
@@ -136,6 +141,8 @@ def thresholds(histogram: DataFrame) -> DataFrame:
     q = joined.select("f.lang", "f.source", "f.name", pick("q1").alias("q1"), pick("q3").alias("q3"))
     spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("name")]) * FENCE
     q = q.select("lang", "source", "name", (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
+    for name, least_hi in (least_fence or {}).items():
+        q = q.withColumn("hi", F.when(F.col("name") == name, F.greatest("hi", F.lit(least_hi))).otherwise(F.col("hi")))
     cells = [F.max(F.when(F.col("name") == k, F.col(side))).alias(f"{side}_{k}") for k in LEAST_SPREAD for side in ("lo", "hi")]
     return q.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*cells)
 
@@ -168,9 +175,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns.
 
+    Ordinary texts have quartiles of 0 for repeats and repeated lines, so
+    those fences are held at ``LEAST_FENCE`` or above; ``quality_rules``
+    has them without, as the query's SQL does.
+
     The texts are measured twice rather than shuffled or stored: once for the
     sketches, once to be judged against the joined fences.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "lang", "source", "text")
-    fences = cut(thresholds(sketch(measure(docs.select("doc_id", "lang", "source", "text")))))
+    fences = cut(thresholds(sketch(measure(docs.select("doc_id", "lang", "source", "text"))), LEAST_FENCE))
     return judged(measure(whole), fences).where("_kept").select("_row.*")

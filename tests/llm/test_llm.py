@@ -64,6 +64,18 @@ def test_quality(spark, docs, empty):
     assert kept.count() == sum(r.kept for r in got)
 
 
+def test_filter_keeps_labelled_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rules = quality.quality_rules(docs)
+    good = {r.doc_id for r in rules.where("not base_failed").join(labels.where("quality = 1"), "doc_id").collect()}
+    junk = {r.doc_id for r in rules.where("not kept").join(labels.where("quality = 0"), "doc_id").collect()}
+    kept = {r.doc_id for r in quality.filter_quality(docs).collect()}
+    assert good and not good - kept
+    assert junk and not junk & kept
+
+
 def test_bucket_bounds(spark):
     rows = spark.range(0, 5000).select("id", quality.bucket(F.col("id")).alias("b")).withColumn("top", quality.bucket_top(F.col("b"))).collect()
     assert all(r.id <= r.top <= r.id * 17 // 16 + 1 for r in rows)
