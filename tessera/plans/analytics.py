@@ -163,7 +163,7 @@ def vec_quantise(spark, sf_dir):
 
 @query("hv_bundle_similarity")
 def hv_bundle(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 10").select("user_id", "event_type").distinct()
+    e = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
     hv = e.withColumn("hv", vector.bind(vector.random_hv(F.col("event_type")), vector.random_hv(F.lit("event"))))
     whole = vector.bundle(hv, ["user_id"], "hv")
     return hv.join(whole.withColumnRenamed("hv", "sum"), "user_id").select("user_id", "event_type", F.round(vector.similarity(F.col("hv"), F.col("sum")), 4).alias("similarity"))

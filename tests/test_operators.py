@@ -94,6 +94,16 @@ def test_minhash_verifies_whole_buckets(spark):
     assert len(got & true) >= 0.9 * len(true)  # the bands themselves miss some at the threshold
 
 
+def test_bundles_cover_all_users(spark):
+    from tessera.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r.user_id, r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    rows = QUERIES["hv_bundle_similarity"](spark, sf).collect()
+    assert len(rows) == len(want) and {(r.user_id, r.event_type) for r in rows} == want
+    assert all(0.5 < r.similarity <= 1 for r in rows)
+
+
 def test_rewrites(spark):
     assert "valid_from <= 5" in rewrite("SELECT * FROM t AS OF 5")
     spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "k int, v int").createOrReplaceTempView("q_t")
