@@ -79,7 +79,7 @@ def test_minhash_verifies_whole_buckets(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     # the least id is below the threshold to all others, which are near each other
     base = "".join(chr(0x4E00 + i) for i in range(70))
-    docs |= {-1000: base[:60]} | {-900 + i: base + chr(0x3000 + i) for i in range(30)} | {-800: base + chr(0x3000)}
+    docs |= {-1000: base[:50]} | {-900 + i: base + chr(0x3000 + i) for i in range(30)} | {-800: base + chr(0x3000)}
     grams = {k: {t[i : i + 3] for i in range(len(t) - 2)} for k, t in ((k, (t or "").encode()) for k, t in docs.items())}
     least = {}
     for k in sorted(docs):
