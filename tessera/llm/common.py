@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,30 +18,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share.
+    """The checkpoint folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a folder under /tmp is chosen.
+    Where that is unset, a local master (tests on one machine) gets a folder
+    under /tmp; on a cluster, whose executors would not see it, that is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        conf = current.get() if current.isDefined() else "file:///tmp/checkpoints"
+        if current.isDefined():
+            conf = current.get()
+        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            conf = "file:///tmp/checkpoints"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+#: Folders written inside each open ``scratch`` block, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, on leaving the block, what ``cut`` wrote in it; ``cut(df, keep=True)`` results stay, for the enclosing block."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Materialise ``df`` in the shared folder as Parquet and read it back.
 
     Survives lost executors, and is compressed and columnar, unlike the row
-    files of ``checkpoint()``.
+    files of ``checkpoint()``. Inside ``scratch`` it is deleted at the end.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "cut")
+    level = len(_SCRATCH) - 1 - keep
+    if level >= 0:
+        _SCRATCH[level].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

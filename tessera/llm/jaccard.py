@@ -1,70 +1,55 @@
 """Similarity join on word 5-grams by adaptive multi-match prefixes.
 
 Two documents link when the Jaccard similarity of their shingle sets is at
-least ``PERCENT`` per cent. In a global order of shingles (frequent ones last,
+least ``PERCENT`` per cent. In a global order of shingles (by exact frequency,
 then by hash) two linked sets share at least l of their first
 ``n - ceil(0.8 n) + l`` shingles, for every l. Each document takes the l that
-minimises its estimated candidate cost, from a bounded table of frequent
-shingles; a pair is verified only if its prefixes share the lesser l and what
-lies behind them could hold the rest of the needed overlap.
-
-Equal sets are one node. Prefix postings are shuffled by shingle and sorted;
-each list is first linked as a star around its shortest set, so a list of any
-size gives as many pairs as members. Lists whose members then lie in several
-components get further stars, and finally every pair between components that
-has not been verified, so no link between different texts is lost while the
-pairs inside a component are never made.
-
-Hashes of shingles and of sets have 64 bits.
+minimises its estimated candidate cost. A pair is a candidate if at the places
+of its first shared shingle what lies behind could still hold the rest of the
+needed overlap (which puts that shingle into the prefixes of l = 1, the only
+ones posted), and is verified only if its lengthened prefixes share the lesser
+l of the two.
+
+Equal sets are one node. Prefix postings are dealt by shingle; each list is
+first linked as a star around its most typical member (the one with the fewest
+rare shingles before the shared one), so a list of any size gives at most as
+many pairs as members. Of lists whose members then lie in several components
+further stars are made, and finally every pair between components that passes
+the places' bound and has not been verified, so no link between different
+texts is lost while pairs inside a component are never made.
+
+Hashes of shingles and of sets have 64 bits. What the join writes on its way
+is deleted when its result is written.
 
 Defined cases: a text of fewer than five words is one shingle; one without
 words (or null) is a component of its own with 0 shingles; repeated rows are
-equal sets; null document ids join components but do not name them.
+equal sets; null document ids join components but do not name them; very long
+texts are one set like others; between equally typical hubs the hash decides;
+an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.bpe import _Cache
-from tessera.llm.common import cut
+from tessera.llm.common import cut, scratch
 from tessera.llm.components import components
+from tessera.llm.shingles import Levels, set_id, share_levels, shingle_set, texts_of
 from tessera.llm.urls import _bits, build_filter
 
-SHINGLE, PERCENT = 5, 80
-#: Frequent shingles are counted where they occur ``LOCAL`` times among ``CHUNK`` shingles of a task; a sum of ``FREQUENT``
-#: or more marks them in a table of 2**CELL_BITS bytes. A shingle of d texts in c chunks is missed only if d is below about sqrt(6 c).
-CHUNK, LOCAL, FREQUENT, CELL_BITS = 2_000_000, 2, 8, 20
+PERCENT = 80
 MAX_MATCH, VERIFY_COST = 4, 8
-#: All pairs between components are made once they are at most so many per posting, or stars no longer halve them.
-CROSS_PER_POSTING, MAX_STARS = 4, 4
-
-_ODD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_word_hash = _Cache(xxhash.xxh3_64_intdigest)
-
-
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a UTF-8 text."""
-    words = text.lower().split()
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
-    n = len(words) - SHINGLE + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        out += h[k : k + n] * _ODD[k]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(32)))
-
-
-def set_id(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+#: All pairs between components are compared by their places once they are at most so many per posting, or stars no longer halve them.
+CROSS_PER_POSTING, MAX_STARS = 128, 4
+#: Sets that a task remembers in order to give each once.
+REMEMBERED = 500_000
+#: Shingles that a task looks up together.
+LOOKED_UP = 500_000
+#: Nodes with links or copies are broadcast to the documents up to so many; beyond, both are shuffled.
+MAX_BROADCAST_NODES = 300_000
 
 
 def needed(n: int) -> int:
@@ -72,9 +57,8 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def ordered(shingles: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set in the global order (rare first, then by hash) and the levels beside it."""
-    level = levels[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+def ordered(shingles: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted set in the global order (rare first, then by hash) and the levels beside it."""
     if not level.any():
         return shingles, level
     at = np.argsort(level, kind="stable")
@@ -96,73 +80,42 @@ def choose_match(level: np.ndarray) -> int:
     return best
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
-def frequent_levels(docs: DataFrame) -> np.ndarray:
-    """Bytes by the top bits of a hash: log2 of the frequency of the most frequent shingle there, or 0."""
-
-    def run(batches):
-        parts, n, sets = [], 0, set()
-
-        def rows():
-            values, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            some = counts >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["token", "n"])
-
-        for batch in batches:
-            for text in _texts(batch):
-                s = shingle_set(text)
-                key = set_id(s)
-                if key not in sets:  # copies count once
-                    sets.add(key)
-                    parts.append(s)
-                    n += len(s)
-                if n >= CHUNK:
-                    yield rows()
-                    parts.clear()
-                    sets.clear()
-                    n = 0
-        yield rows()
-
-    tokens = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    cell = F.shiftrightunsigned("token", 64 - CELL_BITS)
-    cells = tokens.groupBy(cell.alias("cell")).agg(F.max("n").alias("n"))
-    out = np.zeros(1 << CELL_BITS, np.int8)
-    for r in cells.toLocalIterator():  # at most 2**CELL_BITS rows
-        out[r.cell] = int(r.n).bit_length() - 1
-    return out
-
-
 def prefixes(docs: DataFrame, levels) -> DataFrame:
     """doc_id, node, n, l and prefix of each row; a task gives the prefix of equal sets once, else null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        table, given = np.frombuffer(levels.value, np.int8), set()
+        table, given = levels(), set()
+
+        def shapes(sets):
+            """(l, prefix) of each set, their shingles looked up together."""
+            level, at = table.of(np.concatenate(sets)), 0
+            for s in sets:
+                own, lev = ordered(s, level[at : at + len(s)])
+                at += len(s)
+                m = choose_match(lev)
+                yield m, own[: len(s) - needed(len(s)) + m].view(np.int64)
+
         for batch in batches:
-            node, size, match, prefix = [], [], [], []
-            for text in _texts(batch):
+            node, size, fresh, waiting, shaped = [], [], [], [], []
+            for text in texts_of(batch):
                 s = shingle_set(text)
-                n = len(s)
-                size.append(n)
-                if not n:
-                    node.append(None)
-                    match.append(None)
-                    prefix.append(None)
-                    continue
-                key = set_id(s)
-                node.append(key)
-                if key in given:
-                    match.append(None)
-                    prefix.append(None)
-                    continue
-                given.add(key)
-                s, level = ordered(s, table)
-                m = choose_match(level)
-                match.append(m)
-                prefix.append(s[: n - needed(n) + m].view(np.int64))
+                size.append(len(s))
+                node.append(set_id(s) if len(s) else None)
+                if len(s) and node[-1] not in given:
+                    if len(given) >= REMEMBERED:
+                        given.clear()
+                    given.add(node[-1])
+                    waiting.append(s)
+                    fresh.append(len(node) - 1)
+                    if sum(map(len, waiting[-64:])) > LOOKED_UP or len(waiting) >= 1024:
+                        shaped += shapes(waiting)
+                        waiting = []
+            if waiting:
+                shaped += shapes(waiting)
+            match, prefix = [None] * len(node), [None] * len(node)
+            for i, (m, p) in zip(fresh, shaped):
+                match[i], prefix[i] = m, p
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
                 ["doc_id", "node", "n", "l", "prefix"],
@@ -171,13 +124,12 @@ def prefixes(docs: DataFrame, levels) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, l int, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n and the whole set s of the given nodes (node, doc_id).
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, n and the whole set s of the wanted nodes (node and the key, one document id of it).
 
     Only texts whose document id passes a bounded Bloom filter of the wanted
     ids are cut into shingles again; no text is shuffled or stored.
     """
-    wanted = nodes.groupBy("node").agg(F.min("doc_id").alias("key"))
     blocks = build_filter(wanted, wanted.count())
     shared = docs.sparkSession.sparkContext.broadcast(None if blocks is None else blocks.tobytes())
 
@@ -188,16 +140,19 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             if bloom is not None:
                 block, mask = _bits(batch.column("h").to_numpy(), len(bloom))
                 batch = batch.filter(pa.array(((bloom[block] & mask) == mask).all(axis=1)))
-            rows = []
-            for text in _texts(batch):
+            rows, size = [], 0
+            for text in texts_of(batch):
                 s = shingle_set(text)
                 if not len(s) or (key := set_id(s)) in done:
                     continue
+                if len(done) >= REMEMBERED:
+                    done.clear()
                 done.add(key)
                 rows.append((key, len(s), s.view(np.int64)))
-                if sum(r[1] for r in rows) > 500_000:
+                size += len(s)
+                if size > LOOKED_UP:
                     yield _set_rows(rows)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield _set_rows(rows)
 
@@ -210,7 +165,7 @@ def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["node", "n", "s"])
 
 
-def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, least: int, table: np.ndarray) -> bool:
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, least: int, levels: Levels) -> bool:
     """Whether two prefixes share ``least`` shingles and leave room for the overlap that a link needs.
 
     Up to the earlier of the two last prefix shingles both sets are known, so
@@ -219,11 +174,7 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, least: int, table:
     shared = len(np.intersect1d(x, y, assume_unique=True))
     if shared < least:
         return False
-
-    def key(s):
-        return table[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-
-    kx, ky = key(x), key(y)
+    kx, ky = levels.of(x), levels.of(y)
     if (kx[-1], x[-1]) <= (ky[-1], y[-1]):
         cx, cy = len(x), int(((ky < kx[-1]) | ((ky == kx[-1]) & (y <= x[-1]))).sum())
     else:
@@ -240,7 +191,7 @@ def screened(pairs: DataFrame, heads: DataFrame, levels) -> DataFrame:
     right = some.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("l").alias("ly"), F.col("prefix").alias("py"))
 
     def run(batches):
-        table = np.frombuffer(levels.value, np.int8)
+        table = levels()
         for batch in batches:
             def arrays(name):
                 col = batch.column(name)
@@ -255,67 +206,138 @@ def screened(pairs: DataFrame, heads: DataFrame, levels) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, levels) -> DataFrame:
+def _nodes(rows: DataFrame) -> DataFrame:
+    """node, key (its least document id) and number of copies; added up before the shuffle, so a text with many copies is no hot key."""
+    return cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("key"), F.count("*").alias("copies")))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, nodes: DataFrame, levels) -> DataFrame:
     """Of the pairs (x, y) those that link: their prefixes are compared first, then the whole sets of those left."""
     heads = rows.where("prefix is not null").select("node", "n", "l", "prefix")
     left = cut(screened(pairs, heads, levels))
     ends = left.select(F.col("x").alias("node")).union(left.select("y")).distinct()
-    sets = sets_of(docs, rows.where("node is not null").select("node", "doc_id").join(ends, "node", "left_semi"))
+    sets = sets_of(docs, nodes.select("node", "key").join(ends, "node", "left_semi"))
     a = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"))
     b = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
     inter = F.size(F.array_intersect("sx", "sy")).cast("long")
     return left.join(b, "y").join(a, "x").where(inter * 100 >= (F.col("nx") + F.col("ny") - inter) * PERCENT).select("x", "y")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node and component_id (least document id) of each row of ``docs``."""
+def _place(pos: Column, n: Column) -> Column:
+    """Place in the order and size of a posting in one number, for the shuffle."""
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(n)
+
+
+def _unplaced(place: str, tag: str) -> list[Column]:
+    p = F.col(place)
+    return [F.shiftright(p, 32).alias(f"pos{tag}"), p.bitwiseAND((1 << 32) - 1).alias(f"n{tag}")]
+
+
+def _fits(a: str, b: str) -> Column:
+    """Whether two postings of one shingle can be the first that a linked pair shares, by the places of both."""
+    pos_a, n_a, pos_b, n_b = (F.col(f"{c}{t}") for t in (a, b) for c in ("pos", "n"))
+    most = F.least(n_a - pos_a, n_b - pos_b) + 1
+    return most * (100 + PERCENT) >= (n_a + n_b) * PERCENT
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    """Postings of shingles that several nodes share: token, node, its place, the hub of the list and its place, lo and hi of its nodes.
+
+    The first shingle that a linked pair shares lies in the prefixes of l = 1, so only these are posted.
+
+    Both the aggregate and the join use one shuffle of the postings.
+    """
+    head = F.slice("prefix", F.lit(1), (F.floor(F.col("n") * (100 - PERCENT) / 100) + 1).cast("int"))
+    each = rows.where("prefix is not null").select(F.posexplode(head).alias("at", "token"), "node", "n")
+    slim = each.select("token", "node", _place(F.col("at") + 1, F.col("n")).alias("place")).repartition("token")
+    pos, n = _unplaced("place", "")
+    typical = F.shiftleft(F.floor(pos * (1 << 20) / n).cast("long"), 40).bitwiseOR(F.col("node").bitwiseAND((1 << 40) - 1))
+    keyed = slim.withColumn("key", typical)
+    hubs = keyed.groupBy("token").agg(F.min_by("node", "key").alias("hub"), F.min_by("place", "key").alias("hub_place"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    return slim.join(hubs.hint("shuffle_hash"), "token")
+
+
+def _ends(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    """Postings of lists with three nodes or more; of a list with two, the hub's pair is the only one."""
+    longer = lists.where("node <> lo and node <> hi").select("token").distinct()
+    return cut(lists.join(longer, "token", "left_semi").select("token", "node", *_unplaced("place", "")).distinct())
+
+
+def _node_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, levels) -> DataFrame:
+    """(v, c): each linked node and the least node of its component."""
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(frequent_levels(docs).tobytes())
-    rows = cut(prefixes(docs, levels))
-    postings = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", "n", "l")
-    by_list = Window.partitionBy("token").orderBy("n", "node")
-    hubs = postings.withColumn("hub", F.first(F.struct("node", "n", "l")).over(by_list)).withColumn("last", F.lag("node").over(by_list))
-    stars = cut(hubs.where("hub.node <> node and last <> node").select("token", "hub", "node", "n", "l"))
-    # every pair of a hub is tried (or unfit by size), so the lists go on without their hubs
-    members = stars.select("token", "node", "n", "l")
-    sizes_fit = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
-    first = stars.where(sizes_fit(F.col("hub.n"), F.col("n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    tried = cut(first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
-    n_postings = stars.count()
-    found = spark.createDataFrame([], "v long, c long")
-    if n_postings:
-        found = cut(components(verified(tried, docs, rows, levels), "x", "y"))
-    cost = None
+    lists = cut(_lists(rows))
+    first = lists.where("node <> hub").select("hub", "node", *_unplaced("place", ""), *_unplaced("hub_place", "_h")).where(_fits("", "_h"))
+    tried = cut(first.select(*_ends("hub", "node")).distinct())
+    if tried.isEmpty():
+        return spark.createDataFrame([], "v long, c long")
+    found = cut(components(verified(tried, docs, rows, nodes, levels), "x", "y"))
+    members = _members(lists)
+    n_postings, cost = members.count(), None
     for step in range(MAX_STARS + 1 if n_postings else 0):
         labelled = members.join(found.withColumnRenamed("v", "node"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         shares = labelled.groupBy("token", "c").agg(F.count("*").alias("k"))
-        mixed = shares.groupBy("token").agg(F.sum("k").alias("total"), F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        live = cut(labelled.join(mixed.select("token", F.col("main.c").alias("main"), ((F.col("total") - F.col("main.k")) * F.col("total")).alias("cost")), "token"))
-        lists = live.groupBy("token").agg(F.max("cost").alias("cost")).agg(F.count("*"), F.sum("cost")).first()
-        if not lists[0]:
+        mixed = shares.groupBy("token").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.max_by("c", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        live = cut(labelled.join(mixed.select("token", "main", ((F.col("total") - F.col("most")) * F.col("total")).alias("cost")), "token"))
+        costs = live.groupBy("token").agg(F.max("cost").alias("cost")).agg(F.count("*"), F.sum("cost")).first()
+        if not costs[0]:
             break
-        stuck = cost is not None and lists[1] * 2 > cost
-        cost = lists[1]
+        stuck = cost is not None and costs[1] * 2 > cost
+        cost = costs[1]
         last = cost <= max(100_000, CROSS_PER_POSTING * n_postings) or stuck or step == MAX_STARS
         others = live.where("c <> main")
         if not last:
-            others = others.groupBy("token").agg(F.min(F.struct("n", "node", "l", "c")).alias("o")).select("token", "o.*")
-        one = others.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("c").alias("ca"))
-        made = one.join(live.drop("main", "cost"), "token").where((F.col("ca") != F.col("c")) & sizes_fit(F.col("na"), F.col("n")))
-        key = [F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")]
-        made = made.select("token", *key, F.least("la", "l").alias("least"))
-        counted = made.distinct().groupBy("x", "y", "least").agg(F.count("*").alias("k"))
-        fresh = (counted.where("k >= least") if last else counted).select("x", "y").join(tried, ["x", "y"], "left_anti")
-        fresh = cut(fresh)
-        found = cut(components(verified(fresh, docs, rows, levels), "x", "y", known=found))
+            others = others.groupBy("token").agg(F.min(F.struct(F.col("pos") / F.col("n"), "node", "pos", "n", "c")).alias("o")).select("token", "o.*")
+        one = others.select("token", F.col("node").alias("a"), F.col("pos").alias("pos_a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+        once = (F.col("c") == F.col("main")) | F.lit(not last) | (F.col("a") < F.col("node"))  # of two others, each pair from one side
+        made = one.join(live.drop("cost"), "token").where((F.col("c_a") != F.col("c")) & once & _fits("_a", ""))
+        fresh = cut(made.select(*_ends("a", "node")).distinct().join(tried, ["x", "y"], "left_anti"))
+        found = cut(components(verified(fresh, docs, rows, nodes, levels), "x", "y", known=found))
         if last:
             break
         tried = cut(tried.union(fresh))
-    named = rows.select("doc_id", "n", "node").join(found.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("c", "node"))
-    named = named.select("doc_id", "n", "node", "root")
-    least = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, F.col("root") == F.col("r"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node and component_id (least document id) of each row of ``docs``."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        levels = share_levels(docs)
+        rows = cut(prefixes(docs, levels))
+        nodes = _nodes(rows)
+        found = _node_links(docs, rows, nodes, levels)
+        # only nodes with links or copies need a table; a document's own id names all others
+        named = nodes.join(found.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("c", "node"))
+        several = cut(named.where("copies > 1 or c is not null").select("node", "root", "key"))
+        least = several.groupBy("root").agg(F.min("key").alias("component_id"))
+        table = cut(several.join(least, "root").select("node", "component_id"))
+        table = F.broadcast(table) if table.count() <= MAX_BROADCAST_NODES else table
+        out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(table, "node", "left")
+        own = F.when(F.col("node").isNull() | F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        return cut(out.select("doc_id", "n_shingles", "node", own.alias("component_id")), keep=True)
+
+
+def similar_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets as (x, y), and the membership (doc_id, node) of every document.
+
+    For callers who need the links themselves: unlike the components, they
+    grow with the square of a group of near copies.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        levels = share_levels(docs)
+        rows = cut(prefixes(docs, levels))
+        lists = cut(_lists(rows))
+        one = lists.select("token", "node", *_unplaced("place", "")).distinct()
+        two = one.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "pos", "n")])
+        made = one.join(two, "token").where((F.col("node") < F.col("node_b")) & _fits("", "_b"))
+        links = cut(verified(cut(made.select(F.col("node").alias("x"), F.col("node_b").alias("y")).distinct()), docs, rows, _nodes(rows), levels), keep=True)
+        return links, cut(rows.select("doc_id", "node"), keep=True)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -323,6 +345,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat the kept document's id stay with it, as do rows without an id.
     """
-    linked = link_components(docs.select("doc_id", "text"))
-    gone = cut(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    with scratch(docs.sparkSession):
+        linked = link_components(docs.select("doc_id", "text"))
+        gone = cut(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), keep=True)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encoder
-from tessera.llm.common import cut, shared_dir
+from tessera.llm.common import cut, fresh_folder  # noqa: F401
 
 MAGIC, BLOCK = b"TPK1", 8192
 NULL_ID = -(2**63)
@@ -262,6 +262,3 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> D
     listed = spark.createDataFrame(files, "file string, base long").repartition(max(1, len(files)))
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-
-def fresh_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
