@@ -13,8 +13,9 @@ may be in any store that it opens, by tasks over ranges of ascending document
 id; only files that the manifest names count, so a repeated task does no harm.
 
 Defined cases: a null text is empty and has the end id alone; null document
-ids come first and read back as null; repeated ids keep all their rows, by
-text; an empty table gives no file.
+ids come first and read back as null; repeated ids keep all their rows,
+by a hash of the text; an empty table gives no file; very long texts span
+blocks; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -114,6 +115,24 @@ class PackedReader:
         if start >= end:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
+        return self._blocks(first, last)[start - first * self.block : end - first * self.block]
+
+    def documents(self, run: int = 64):
+        """Ids of each document in turn; the blocks are read once, in order, ``run`` at a time."""
+        n, at, block = len(self.offsets) - 1, 0, 0
+        held = np.zeros(0, np.uint32)
+        for a, b in zip(self.starts.tolist(), self.starts[1:].tolist()):
+            if at + len(held) < b:
+                parts, have = [held[a - at :]], at + len(held)
+                while have < b:
+                    last = min(block + run, n) - 1
+                    parts.append(self._blocks(block, last))
+                    have, block = have + len(parts[-1]), last + 1
+                held, at = np.concatenate(parts), a
+            yield held[a - at : b - at]
+
+    def _blocks(self, first: int, last: int) -> np.ndarray:
+        """All ids of the blocks from first to last."""
         self.source.seek(int(self.offsets[first]))
         data = self.source.read(int(self.offsets[last + 1] - self.offsets[first]))
         n = min((last + 1) * self.block, int(self.starts[-1])) - first * self.block
@@ -123,19 +142,37 @@ class PackedReader:
             out = np.concatenate(parts)
         else:
             out = unpack(data, n, self.width)
-        return out[start - first * self.block : end - first * self.block]
+        return out
 
 
-class LibraryEncoder:
-    """Ids of texts by the tokenizers library, with bounded caches.
+def _byte_classes() -> np.ndarray:
+    """0 white space, 1 letter, 2 digit, 3 other ASCII, 4 for bytes whose word must be cut as text."""
+    out = np.full(256, 4, np.uint8)
+    for c in range(0x21, 0x7F):
+        ch = chr(c)
+        out[c] = 1 if ch.isalpha() else 2 if ch.isdigit() else 4 if ch in "'<" else 3
+    out[[0x20, *range(0x09, 0x0E)]] = 0
+    return out
+
+
+_CLASS = _byte_classes()
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_AS_TEXT = re.compile(rb"[^!-~]|['<]")
 
-    Pieces between ASCII white space are cached. New pieces of plain Latin
-    letters and punctuation are cut into pre-tokens, and those not seen before
-    are encoded in one call, separated by spaces; the end-of-word tokens tell
-    their ids apart. Any other piece goes to the library as it is.
+
+class LibraryEncoder:
+    """Ids of texts by the tokenizers library, each distinct pre-token encoded once.
+
+    A group of texts is cut with numpy: runs of letters, single digits and runs
+    of other ASCII characters are pre-tokens. Words with any other byte, an
+    apostrophe or ``<`` (contractions, special tokens) stay whole and are cut
+    as text, or go to the library as they are. Distinct pieces come from
+    Arrow's dictionary encoding; those not in the bounded cache are encoded in
+    one call, separated by spaces, and the end-of-word tokens tell their ids
+    apart (if they don't, the library encodes each by itself).
     """
 
-    PIECES, TOKENS = 600_000, 400_000
+    CACHED, GROUP_BYTES = 600_000, 4_000_000
     #: Characters that are their own NFC, before and after lower-casing.
     PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+")
 
@@ -149,55 +186,92 @@ class LibraryEncoder:
         own = encoder(path)
         self.cut = own.pieces.findall if own.end else None
         self.last = np.array([s.endswith(own.end) and bool(own.end) for s in own.strings])
-        self.pieces: dict[bytes, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, new: set[bytes]) -> None:
-        plans, unseen = [], set()
+    def _learn(self, new: list[bytes]) -> None:
+        plans, unseen = [], {}
         for piece in new:
+            if self.cut is not None and not _AS_TEXT.search(piece):
+                unseen[piece] = None
+                continue
             s = piece.decode("utf-8", "replace")
             if self.cut is None or "<|" in s or not self.PLAIN.fullmatch(s):
-                self.pieces[piece] = self._ids(s).tobytes()
+                self.cache[piece] = self._ids(s).tobytes()
                 continue
-            low = s.lower()
-            parts = [low] if low.isalpha() else self.cut(low)
+            parts = [p.encode() for p in self.cut(s.lower())]
             plans.append((piece, parts))
-            unseen.update(p for p in parts if p not in self.tokens)
+            unseen.update((p, None) for p in parts if p not in self.cache)
         if unseen:
-            words = list(unseen)
+            words = [w.decode() for w in unseen]
             ids = self._ids(" ".join(words))
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(words):
-                raise ValueError("the library cut a pre-token")
-            raw = ids.tobytes()
-            for w, a, b in zip(words, [0, *ends], ends):
-                self.tokens[w] = raw[4 * a : 4 * b]
+            if len(ends) == len(words):
+                raw = ids.tobytes()
+                self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(unseen, [0, *ends], ends))
+            else:
+                self.cache.update((w, self._ids(s).tobytes()) for w, s in zip(unseen, words))
         for piece, parts in plans:
-            self.pieces[piece] = self.tokens[parts[0]] if len(parts) == 1 else b"".join([self.tokens[p] for p in parts])
+            self.cache[piece] = b"".join([self.cache[p] for p in parts])
+
+    def _group(self, texts: list[bytes]):
+        buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        cls = _CLASS[buf]
+        cuts = np.empty(len(buf), bool)
+        cuts[0] = cls[0] != 0
+        np.not_equal(cls[1:], cls[:-1], out=cuts[1:])
+        cuts &= cls != 0
+        cuts |= cls == 2
+        low = _LOWER[buf]
+        at = np.flatnonzero(cuts).astype(np.int32)
+        if not len(at):
+            yield from (np.zeros(0, np.uint32) for _ in texts)
+            return
+        slow = cls[at] == 4
+        if slow.any():
+            begins = at == 0
+            begins |= cls[at - 1] == 0
+            word = np.cumsum(begins, dtype=np.int32)
+            flagged = np.zeros(int(word[-1]) + 1, bool)
+            flagged[word[slow]] = True
+            whole = flagged[word]
+            keep = begins | ~whole
+            at, whole = at[keep], whole[keep]
+            size = np.diff(at, append=np.int32(len(buf)))[whole]
+            back = np.repeat(at[whole] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            low[back] = buf[back]  # as they are, for the library to normalise
+        offsets = np.append(at, np.int32(len(buf)))
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+        _, edges, data = coded.dictionary.buffers()
+        edges, data = np.frombuffer(edges, np.int32, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
+        pieces = [data[a:b].rstrip() for a, b in zip(edges, edges[1:])]
+        if len(self.cache) > self.CACHED:
+            self.cache.clear()
+        self._learn([p for p in dict.fromkeys(pieces) if p not in self.cache])
+        values = list(map(self.cache.__getitem__, pieces))
+        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        pool, first, index = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size, dtype=np.int32) - size, coded.indices.to_numpy()
+        each = size[index]
+        upto = np.zeros(len(each) + 1, np.int32)
+        np.cumsum(each, out=upto[1:])
+        ids = pool[np.repeat(first[index] - upto[:-1], each) + np.arange(upto[-1], dtype=np.int32)]
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        edges = upto[np.searchsorted(at, starts)].tolist()
+        yield from (ids[a:b] for a, b in zip(edges, edges[1:]))
 
     def encode_all(self, texts: list[bytes]):
-        """uint32 ids of each UTF-8 text, in groups of about a hundred thousand characters."""
+        """uint32 ids of each UTF-8 text, in groups of ``GROUP_BYTES`` or one text."""
         group, size = [], 0
-        for text in [*texts, None]:
-            if text is None or size > 400_000:
-                if len(self.pieces) > self.PIECES:
-                    self.pieces.clear()
-                if len(self.tokens) > self.TOKENS:
-                    self.tokens.clear()
-                new = set()
-                for words in group:
-                    new.update(words)
-                new.difference_update(self.pieces)
-                self._learn(new)
-                for words in group:
-                    yield np.frombuffer(b"".join(map(self.pieces.__getitem__, words)), "<u4")
+        for text in texts:
+            if group and size + len(text) > self.GROUP_BYTES:
+                yield from self._group(group)
                 group, size = [], 0
-            if text is not None:
-                group.append(text.split())
-                size += len(text)
+            group.append(text)
+            size += len(text) + 1
+        if group:
+            yield from self._group(group)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -227,8 +301,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
             stream.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(writer.docs)], "ids": [writer.starts[-1]]}, pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ranged.mapInArrow(run, "part long, file string, docs long, ids long"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ranged = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")  # a repeated id is split by its texts
+    return cut(ranged.select("doc_id", "text").mapInArrow(run, "part long, file string, docs long, ids long"))
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
@@ -248,7 +323,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> D
             for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 with store.open_input_file(f"{root}/{name}") as source:
                     reader = PackedReader(source, source.size())
-                    sums = [zlib.crc32(reader.ids(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(reader.starts, reader.starts[1:])]
+                    sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in reader.documents()]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(reader.docs, pa.int64(), mask=reader.docs == NULL_ID),
