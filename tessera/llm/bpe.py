@@ -21,8 +21,8 @@ import unicodedata
 
 import regex
 
-#: Pieces kept in a worker's cache, and the longest piece kept.
-CACHE_PIECES, CACHE_BYTES = 600_000, 64
+#: Pieces kept in a cache of a worker (about 200 bytes each, two caches), and the longest piece kept.
+CACHE_PIECES, CACHE_BYTES = 300_000, 64
 
 
 def byte_alphabet() -> list[str]:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, scratch
 from tessera.llm.components import components
-from tessera.llm.shingles import Levels, set_id, share_levels, shingle_set, texts_of
+from tessera.llm.shingles import Levels, forget, set_id, share_levels, shingle_set, texts_of
 from tessera.llm.urls import _bits, build_filter
 
 PERCENT = 80
@@ -120,6 +120,7 @@ def prefixes(docs: DataFrame, levels) -> DataFrame:
                 [batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
                 ["doc_id", "node", "n", "l", "prefix"],
             )
+        forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, l int, prefix array<long>")
 
@@ -155,6 +156,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows, size = [], 0
             if rows:
                 yield _set_rows(rows)
+        forget()
 
     found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "node long, n long, s array<long>")
     return cut(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))

@@ -21,7 +21,7 @@ q AS (SELECT lev, lang, source, name, n, min(CASE WHEN cum * 4 >= n THEN ((b - s
 f AS (SELECT a.lang, a.source, a.name, CASE WHEN a.n >= 100 THEN a.q1 WHEN x.n >= 100 THEN x.q1 ELSE y.q1 END AS q1, CASE WHEN a.n >= 100 THEN a.q3 WHEN x.n >= 100 THEN x.q3 ELSE y.q3 END AS q3,
   CASE a.name WHEN 'symbol' THEN 50 WHEN 'dup_line' THEN 100 WHEN 'repeat' THEN 30 ELSE 50 END AS least_
   FROM q a JOIN q x ON x.lev = 1 AND a.lang IS NOT DISTINCT FROM x.lang AND a.name = x.name JOIN q y ON y.lev = 2 AND a.name = y.name WHERE a.lev = 0),
-t AS (SELECT lang, source, name, q1 - 3 * greatest(q3 - q1, least_) AS lo, q3 + 3 * greatest(q3 - q1, least_) AS hi FROM f)
+t AS (SELECT lang, source, name, q1 - 3 * greatest(q3 - q1, least_) AS lo, greatest(q3 + 3 * greatest(q3 - q1, least_), CASE name WHEN 'repeat' THEN 200 WHEN 'dup_line' THEN 500 ELSE 0 END) AS hi FROM f)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(symbol > ts.hi OR dup_line > td.hi OR repeat_ > tr.hi OR (n_words >= 50 AND (len_ > tl.hi OR len_ < tl.lo)), false) AS kept
 FROM b LEFT JOIN t ts ON ts.name = 'symbol' AND ts.lang IS NOT DISTINCT FROM b.lang AND ts.source IS NOT DISTINCT FROM b.source

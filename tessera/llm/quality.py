@@ -6,12 +6,15 @@ buckets (sixteen per power of two, so a quantile is off by a sixteenth at
 most). Sketches add up, so a group with few texts falls back on its language's
 sum, and that on the sum of all. Fences at quartile plus or minus
 ``FENCE * max(spread, least spread)`` replace fixed cutoffs and are joined to
-the measures.
+the measures. In ordinary texts most have no repeat at all, so quartiles and
+spread are 0 and the fence would be a tighter cutoff than the base rule; those
+fences are held at ``LEAST_FENCE`` or above.
 
 Defined cases: null text counts as empty and so fails (fewer than ten words);
 null language or source is a group of its own; repeated rows are judged each;
-an empty table gives an empty result; columns of the input that clash with
-measures are kept by ``filter_quality`` (it works under spare names).
+an empty table gives an empty result; very long texts are measured whole, in
+one row; a value on a fence is kept; ``filter_quality`` keeps all columns, also
+those named like measures.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import SEPARATOR, cut, text_of
+from tessera.llm.common import SEPARATOR, cut, scratch, text_of
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -33,10 +36,12 @@ FENCE = 3
 LENGTH_MIN_WORDS = 50
 #: measure -> least spread in its own unit; lower fences only for word length.
 LEAST_SPREAD = {"symbol": 50, "dup_line": 100, "repeat": 30, "length": 50}
-#: Least upper fences of ``filter_quality`` (per mille): the base rule's share of repeated words, and half the lines.
+#: Least upper fences (per mille): the base rule's share of repeated words, and half the lines.
 LEAST_FENCE = {"repeat": MAX_REPEAT_PERCENT * 10, "dup_line": 500}
 #: Thresholds are broadcast up to so many rows; beyond, a plain join is used.
 MAX_BROADCAST_ROWS = 20_000
+#: Keys (16 bytes) of rejected rows are broadcast up to so many.
+MAX_BROADCAST_REJECTED = 500_000
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -122,10 +127,10 @@ def quartiles(histogram: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def thresholds(histogram: DataFrame, least_fence: dict[str, int] | None = None) -> DataFrame:
+def thresholds(histogram: DataFrame) -> DataFrame:
     """One row per (lang, source): columns lo and hi per measure, by the finest level with enough texts.
 
-    No upper fence is below its measure's ``least_fence``.
+    No upper fence is below its measure's ``LEAST_FENCE``.
     """
     by_lang = histogram.groupBy("lang", "name", "b").agg(F.sum("c").alias("c"))
     by_all = by_lang.groupBy("name", "b").agg(F.sum("c").alias("c"))
@@ -141,7 +146,7 @@ def thresholds(histogram: DataFrame, least_fence: dict[str, int] | None = None)
     q = joined.select("f.lang", "f.source", "f.name", pick("q1").alias("q1"), pick("q3").alias("q3"))
     spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("name")]) * FENCE
     q = q.select("lang", "source", "name", (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
-    for name, least_hi in (least_fence or {}).items():
+    for name, least_hi in LEAST_FENCE.items():
         q = q.withColumn("hi", F.when(F.col("name") == name, F.greatest("hi", F.lit(least_hi))).otherwise(F.col("hi")))
     cells = [F.max(F.when(F.col("name") == k, F.col(side))).alias(f"{side}_{k}") for k in LEAST_SPREAD for side in ("lo", "hi")]
     return q.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*cells)
@@ -163,25 +168,35 @@ def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
     return joined.select(*measured.columns, base.alias("_base"), (~base & ~F.coalesce(odd, F.lit(False))).alias("_kept"))
 
 
+def _judged_rows(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but for its text, measures and verdicts; each text is measured once."""
+    measured = cut(measure(docs).drop("text"))
+    return judged(measured, cut(thresholds(sketch(measured))))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the measures, base_failed and kept, a row for each row of ``docs``."""
-    slim = docs.select("doc_id", "lang", "source", "text")
-    measured = cut(measure(slim).drop("text"))
-    fences = cut(thresholds(sketch(measured)))
-    out = judged(measured, fences)
-    return out.select("doc_id", "lang", "source", *[f"_m.{x}" for x in MEASURES], F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"))
+    with scratch(docs.sparkSession):
+        out = _judged_rows(docs.select("doc_id", "lang", "source", "text"))
+        return cut(out.select("doc_id", "lang", "source", *[f"_m.{x}" for x in MEASURES], F.col("_base").alias("base_failed"), F.col("_kept").alias("kept")), keep=True)
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    """128 bits of all that a verdict depends on, and the id."""
+    parts = [docs[c] for c in ("doc_id", "lang", "source", "text")]
+    return [F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit(1), *parts[::-1]).alias("_k2")]
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns.
 
-    Ordinary texts have quartiles of 0 for repeats and repeated lines, so
-    those fences are held at ``LEAST_FENCE`` or above; ``quality_rules``
-    has them without, as the query's SQL does.
-
-    The texts are measured twice rather than shuffled or stored: once for the
-    sketches, once to be judged against the joined fences.
+    Equal rows have equal verdicts, so the rejected keys are joined back by a
+    hash of the row. Up to ``MAX_BROADCAST_REJECTED`` they are broadcast and no
+    text is shuffled; beyond, both sides are.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "lang", "source", "text")
-    fences = cut(thresholds(sketch(measure(docs.select("doc_id", "lang", "source", "text"))), LEAST_FENCE))
-    return judged(measure(whole), fences).where("_kept").select("_row.*")
+    with scratch(docs.sparkSession):
+        out = _judged_rows(docs.select(*_row_key(docs), "lang", "source", "text"))
+        rejected = cut(out.where("not _kept").select("_k1", "_k2").distinct(), keep=True)
+    rejected = F.broadcast(rejected) if rejected.count() <= MAX_BROADCAST_REJECTED else rejected
+    k1, k2 = _row_key(docs)
+    return docs.join(rejected, (k1 == rejected["_k1"]) & (k2 == rejected["_k2"]), "left_anti")

@@ -44,6 +44,11 @@ def shingle_set(text: bytes) -> np.ndarray:
     return out if new.all() else out[new]
 
 
+def forget() -> None:
+    """Ends a task: its worker lives on, beside those of other operators."""
+    _word_hash.clear()
+
+
 def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
@@ -106,6 +111,7 @@ def frequencies(docs: DataFrame) -> DataFrame:
                     n = 0
         if parts:
             yield rows()
+        forget()
 
     def add(batches):
         def total(bucket, values, counts):
