@@ -1,27 +1,35 @@
 """Personal data: fixed patterns, plus a character BiLSTM-CRF trained here.
 
 The fixed patterns find the base spans. A bidirectional LSTM over character
-classes with CRF transitions, written in numpy and trained from labelled
-windows of the corpus (base spans are the labels), tags the neighbourhood of
-every digit and ``@``: overlapping windows of the whole text are decoded by
-Viterbi, and their spans are reconciled over the text by weighted interval
-scheduling. Spans that touch no base span, have the form of their kind and a
-sufficient margin are added; base spans always stay.
-
-Every kind holds a digit or an ``@`` by definition, so a window with neither
-cannot hold an accepted span, and leaving it out changes nothing
+classes with CRF transitions, written in numpy, is trained from labelled
+windows of the corpus: base spans are labels as they are, and rewritten in
+forms that the patterns miss (``rewritten``: bracketed or spelled-out
+separators, other or wider ones, telephone numbers without ``+``). It tags the
+neighbourhood of every cue: overlapping windows of the whole text are decoded
+by Viterbi, pieces of a span that windows cut are joined, and all spans are
+reconciled over the text by weighted interval scheduling. Spans that touch no
+base span, have a form of their kind and a sufficient margin are added; base
+spans always stay.
+
+Every form holds a cue by definition (a digit, ``@``, a bracketed "at", or
+"dot") and has at most ``MAX_SPAN`` characters, so a window that is not near a
+cue cannot hold a part of an accepted span, and leaving it out changes nothing
 (``decode_all`` tests that).
 
 Defined cases: null text is empty and has no spans; ties between spans go to
 the earlier start, then to the kind listed first; repeated rows are treated
-each; very long texts are searched whole in linear time; with fewer than
-``MIN_TRAIN`` labelled windows (or none) only the base spans are found.
+each; very long texts are searched whole, in time proportional to their
+length but for sorting their spans; with fewer than ``MIN_TRAIN`` labelled
+windows (or none) only the base spans are found; an empty table gives an empty
+result; ``mask_pii`` keeps all columns, ``pii_digests`` reads two.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +45,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGIT_OR_AT = re.compile("[0-9@]")
-_NO_CUE = bytes.maketrans(b"0123456789", b"@" * 10)
+_SPELLED = re.compile(r"[\[({<]at[\])}>]|dot", re.IGNORECASE)
+_CUE = re.compile(r"[0-9@]|" + _SPELLED.pattern, re.IGNORECASE)
+_CUE_BYTES = re.compile(_CUE.pattern.encode(), re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -81,13 +90,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # ---------------------------------------------------------------- the tagger
 
 WINDOW, STRIDE = 96, 48
-HIDDEN, EMBED = 12, 8
+HIDDEN, EMBED = 16, 8
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 #: Bound of the training sample, and the least of it to train at all.
 MAX_TRAIN, MIN_TRAIN = 400, 20
-STEPS, BATCH, RATE = 120, 32, 0.02
-#: Mean margin per character of an added span over "outside".
-MARGIN = 2.0
+STEPS, BATCH, RATE = 240, 32, 0.02
+#: Rewritten copies of each labelled window with a span.
+COPIES = 3
+#: Longest added span.
+MAX_SPAN = WINDOW + STRIDE
+#: Least margin per character of an added span's path (emissions and transitions) over one that stays outside.
+MARGIN = 0.25
 
 
 def classes() -> np.ndarray:
@@ -261,25 +274,81 @@ def train_tagger(samples: list[tuple[str, list[tuple[int, int, str]]]]) -> BiLst
     return model
 
 
+_LABEL = "[A-Za-z0-9-]+"
+_SOME_DOT = r"(?:\.|\s?[\[({<](?:\.|dot)[\])}>]\s?|\sdot\s)"
+_SPELLED_DOT = r"(?:\s?[\[({<](?:\.|dot)[\])}>]\s?|\sdot\s)"
+_EMAIL_FORM = re.compile(
+    rf"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s?@\s?|\s?[\[({{<]at[\])}}>]\s?){_LABEL}(?:{_SOME_DOT}{_LABEL})+"
+    rf"|[A-Za-z0-9][A-Za-z0-9._%+-]*\sat\s{_LABEL}(?:{_SPELLED_DOT}{_LABEL})+",
+    re.IGNORECASE,
+)
+_IP_FORM = re.compile(r"[0-9]{1,3}(?:(?:[.:-]|\s\.\s|[\[(]\.[\])])[0-9]{1,3}){3}")
+_CARD_FORM = re.compile(r"[0-9](?:[ ./-]{0,3}[0-9])+")
+_PHONE_FORM = re.compile(r"(?:\+|00|\()[0-9][0-9 ().+/-]*[0-9]|[0-9]+(?:[ ./)(-]{1,3}[0-9]+){2,}")
+
+
 def form_fits(kind: str, span: str) -> bool:
     """Whether a decoded span can be of its kind at all."""
-    digits = sum("0" <= c <= "9" for c in span)
+    digits = "".join(c for c in span if "0" <= c <= "9")
+    if len(span) > MAX_SPAN:
+        return False
     if kind == "email":
-        return "@" in span[1:-1] and not re.search(r"\s", span)
+        return bool(_EMAIL_FORM.fullmatch(span))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}([.:-][0-9]{1,3}){3}", span)) and all(int(p) <= 255 for p in re.split("[.:-]", span))
+        return bool(_IP_FORM.fullmatch(span)) and all(int(p) <= 255 for p in re.findall("[0-9]+", span))
     if kind == "card":
-        return 14 <= digits <= 19 and bool(re.fullmatch(r"[0-9][0-9 ./-]*[0-9]", span)) and luhn(re.sub("[^0-9]", "", span))
-    return 10 <= digits <= 15 and bool(re.fullmatch(r"(\+|00|\()[0-9 ().+/-]*[0-9]", span))
+        return 14 <= len(digits) <= 19 and bool(_CARD_FORM.fullmatch(span)) and luhn(digits)
+    return 10 <= len(digits) <= 15 and bool(_PHONE_FORM.fullmatch(span))
+
+
+def rewritten(span: str, kind: str, r: random.Random) -> str:
+    """A base span in a form that the fixed patterns miss."""
+    if kind == "email":
+        local, _, domain = span.partition("@")
+        at, dot = r.choice([(" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), (" @ ", "."), ("@", "[.]"), (" [at] ", ".")])
+        return local + at + domain.replace(".", dot)
+    if kind == "ip":
+        return span.replace(".", r.choice(["[.]", "(.)", " . ", "-", ":"]))
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "card":
+        return r.choice([".", "/", "  ", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    parts = re.findall("[0-9]+", span)
+    if len(parts) < 3:
+        parts = [digits[:-7], digits[-7:-4], digits[-4:]]
+    head = r.choice(["00", "", ""])
+    return head + r.choice(["-", ".", " ", "/"]).join(parts)
+
+
+def with_rewritten(samples: list[tuple[str, list]]) -> list[tuple[str, list]]:
+    """The labelled windows, and copies of those with spans in which each span is rewritten."""
+    out = list(samples)
+    for text, spans in samples:
+        r = random.Random(hashlib.md5(text.encode("utf-8", "replace")).hexdigest())
+        for _ in range(COPIES if spans else 0):
+            made, labels, done = "", [], 0
+            for a, b, kind in spans:
+                if a < done:
+                    continue
+                new = rewritten(text[a:b], kind, r)
+                made += text[done:a]
+                labels.append((len(made), len(made) + len(new), kind))
+                made, done = made + new, b
+            made += text[done:]
+            over = max(0, labels[-1][1] - WINDOW)  # the window slides to the last span
+            out.append((made[over : over + WINDOW], [(a - over, b - over, k) for a, b, k in labels if a >= over]))
+    return out
 
 
-def window_starts(codes: np.ndarray, gate: bool = True) -> np.ndarray:
-    """Starts of the overlapping windows of a text; with ``gate`` only those that hold a digit or @."""
+def window_starts(text: str, codes: np.ndarray, gate: bool = True) -> np.ndarray:
+    """Starts of the overlapping windows of a text; with ``gate`` only those within a span's length of a cue."""
     starts = np.arange(0, max(1, len(codes) - STRIDE), STRIDE)
     if not gate:
         return starts
-    cue = np.concatenate([[0], np.cumsum((codes == 4) | (codes == CLASSES[ord("@")]))])
-    return starts[cue[np.minimum(starts + WINDOW, len(codes))] > cue[starts]]
+    marks = (codes == 4) | (codes == CLASSES[ord("@")])
+    for m in _SPELLED.finditer(text):
+        marks[m.start() : m.end()] = True
+    cue = np.concatenate([[0], np.cumsum(marks)])
+    return starts[cue[np.minimum(starts + WINDOW + MAX_SPAN, len(codes))] > cue[np.maximum(starts - MAX_SPAN, 0)]]
 
 
 def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
@@ -291,7 +360,7 @@ def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     ends = [b for b, *_ in items]
     total, choice = [0.0], []
     for i, (_, a, _, s) in enumerate(items):
-        j = int(np.searchsorted(ends[:i], a, side="right"))
+        j = bisect_right(ends, a, 0, i)
         take = total[j] + s > total[i]
         choice.append((take, j))
         total.append(total[j] + s if take else total[i])
@@ -309,6 +378,8 @@ def decode_all(model: BiLstmCrf, texts: list[str], gate: bool = True) -> list[li
     """Reconciled spans of the model in each text, by windows over all of it."""
     found: list[list] = [[] for _ in texts]
     rows, where = [], []
+    #: of a text: the last window, and the start, kind and score of the piece that its right edge cuts
+    open_piece: dict[int, tuple[int, int, int, float]] = {}
 
     def flush():
         x = np.stack(rows)
@@ -318,26 +389,34 @@ def decode_all(model: BiLstmCrf, texts: list[str], gate: bool = True) -> list[li
         for r in np.flatnonzero(tags.any(axis=1)):
             doc, start = where[r]
             t, i = tags[r], 0
+            before = open_piece.pop(doc, None)
             while i < WINDOW:
                 if t[i] == 0:
                     i += 1
                     continue
-                kind, j = (t[i] - 1) // 2, i + 1
+                kind, j = int(t[i] - 1) // 2, i + 1
                 while j < WINDOW and t[j] == 2 + 2 * kind:
                     j += 1
-                # a span cut by the window's edge is whole in the neighbouring window
-                if (i > 0 or start == 0) and (j < WINDOW or start + WINDOW >= lengths[doc]):
-                    found[doc].append((start + i, min(start + j, lengths[doc]), KINDS[kind], float(margin[r, i:j].sum())))
+                path = np.concatenate([[0] if i else [], t[i:j], [0] if j < WINDOW else []]).astype(int)
+                a, score = start + i, float(margin[r, i:j].sum()) + float((model.p["T"][path[:-1], path[1:]] - model.p["T"][0, 0]).sum())
+                whole = i > 0 or start == 0
+                if not whole and before and before[0] == start - STRIDE and before[2] == kind:
+                    # the piece goes on where the window before ended
+                    a, score, whole = before[1], before[3] + float(margin[r, WINDOW - STRIDE : j].sum()), True
+                if whole and j == WINDOW and start + WINDOW < lengths[doc]:
+                    open_piece[doc] = (start, a, kind, score)
+                elif whole:
+                    found[doc].append((a, min(start + j, lengths[doc]), KINDS[kind], score))
                 i = j
         rows.clear()
         where.clear()
 
     lengths = [len(t) for t in texts]
     for doc, text in enumerate(texts):
-        if gate and not _DIGIT_OR_AT.search(text):
+        if gate and not _CUE.search(text):
             continue
         codes = encode(text)
-        for s in window_starts(codes, gate):
+        for s in window_starts(text, codes, gate):
             x = np.zeros(WINDOW, np.int64)
             part = codes[s : s + WINDOW]
             x[: len(part)] = part
@@ -357,19 +436,23 @@ def all_spans(texts: list[str], model: BiLstmCrf | None) -> list[tuple[list, lis
         return [(b, b) for b in base]
     out = []
     for b, extra in zip(base, decode_all(model, texts)):
-        taken = [s for s in extra if not any(s[0] < e and a < s[1] for a, e, _ in b)]
+        starts, upto, most = [a for a, *_ in b], [0], 0
+        for _, e, _ in b:
+            most = max(most, e)
+            upto.append(most)
+        taken = [s for s in extra if upto[bisect_left(starts, s[1])] <= s[0]]
         out.append((b, sorted([*b, *taken], key=lambda s: (s[0], _RANK[s[2]]))))
     return out
 
 
 def cued(batch: pa.RecordBatch) -> tuple[list[bytes], list[int]]:
-    """UTF-8 texts of a batch, and the indices of those with a digit or @."""
+    """UTF-8 texts of a batch, and the indices of those with a cue."""
     texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-    return texts, [i for i, t in enumerate(texts) if b"@" in t.translate(_NO_CUE)]
+    return texts, [i for i, t in enumerate(texts) if _CUE_BYTES.search(t)]
 
 
 def labelled_windows(docs: DataFrame) -> list[tuple[str, list]]:
-    """At most MAX_TRAIN windows around digits and @ of all ``docs``, by least hash, with the base spans in them."""
+    """At most MAX_TRAIN windows around cues of all ``docs``, by least hash, with the base spans in them."""
 
     def run(batches):
         for batch in batches:
@@ -378,7 +461,7 @@ def labelled_windows(docs: DataFrame) -> list[tuple[str, list]]:
             for i in some:
                 text = texts[i].decode("utf-8", "replace")
                 spans = base_spans(text)
-                m = _DIGIT_OR_AT.search(text)
+                m = _CUE.search(text)
                 start = max(0, (spans[len(text) % len(spans)][0] if spans else m.start()) - 10 - len(text) % 30)
                 window = text[start : start + WINDOW]
                 inside = [(a - start, b - start, k) for a, b, k in spans if a >= start and b <= start + WINDOW]
@@ -399,7 +482,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 def _with_spans(docs: DataFrame):
     """The model, shared with the tasks, trained on a bounded sample of ``docs``."""
-    model = train_tagger(labelled_windows(docs))
+    model = train_tagger(with_rewritten(labelled_windows(docs)))
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else model.p)
 
     def load() -> BiLstmCrf | None:

@@ -217,6 +217,64 @@ def test_pii_tagger_learns_and_gate_is_lossless():
     assert pii.train_tagger(samples(3, 1)) is None
 
 
+def test_pii_finds_rewritten_forms():
+    """The tagger, trained on windows as the operator makes them, finds held-out forms that the patterns miss."""
+    model = pii.train_tagger(pii.with_rewritten(samples(300, 1)))
+    held = [s for s in pii.with_rewritten(samples(150, 2))[150:]]
+    spans = pii.all_spans([t for t, _ in held], model)
+    hits = sum(x in full for (_, want), (_, full) in zip(held, spans) for x in want)
+    added = sum(len(full) - len(base) for base, full in spans)
+    right = sum(x in want for (_, want), (base, full) in zip(held, spans) for x in full if x not in base)
+    assert hits >= 0.75 * sum(len(want) for _, want in held)
+    assert added and right >= 0.85 * added
+    assert all(set(base) <= set(full) and base == pii.base_spans(t) for (t, _), (base, full) in zip(held, spans))
+
+
+def test_pii_spans_cut_by_windows():
+    """A span longer than the windows' overlap is joined at every offset."""
+
+    class Digits:
+        p = {"T": np.zeros((pii.TAGS, pii.TAGS))}
+
+        def emissions(self, x):
+            out = np.zeros((x.shape[1], len(x), pii.TAGS), np.float32)
+            first = (x == 4) & np.concatenate([np.ones((len(x), 1), bool), x[:, :-1] != 4], axis=1)
+            out[:, :, 0] = 1
+            out[:, :, 8] = np.where((x == 4) & ~first, 9.0, 0).T
+            out[:, :, 7] = np.where(first, 9.0, 0).T
+            return out
+
+        def viterbi(self, em):
+            return em.argmax(2).T
+
+    keep = pii.form_fits
+    try:
+        pii.form_fits = lambda kind, span: True
+        for size in (3, 47, 48, 60, 95, 96, 120, 144):
+            for at in range(0, 150, 7):
+                text = "x" * at + "1" * size + "x" * 200
+                got = pii.decode_all(Digits(), [text])
+                assert got == pii.decode_all(Digits(), [text], gate=False) == [[(at, at + size, "phone")]], (size, at)
+    finally:
+        pii.form_fits = keep
+
+
+def test_pii_reconcile_is_the_best_choice():
+    r = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + r.randint(1, 6), r.choice(pii.KINDS), r.random()) for a in (r.randint(0, 15) for _ in range(r.randint(0, 8)))]
+        best = 0.0
+        for mask in range(1 << len(spans)):
+            some = sorted(s for i, s in enumerate(spans) if mask >> i & 1)
+            if all(x[1] <= y[0] for x, y in zip(some, some[1:])):
+                best = max(best, sum(s[3] for s in some))
+        score = {}
+        for a, b, k, s in spans:
+            score[a, b, k] = max(score.get((a, b, k), 0), s)
+        got = pii.reconcile(spans)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        assert sum(score[x] for x in got) == pytest.approx(best)
+
 def test_pii_rows(spark, docs, empty):
     rows = {r.doc_id: r for r in pii.pii_digests(docs).collect()}
     assert (rows[5].n_email, rows[5].n_ip, rows[5].n_card, rows[5].n_phone) == (1, 1, 1, 1)
