@@ -2,16 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``.
+
+Defined cases: null texts fail the quality rules; null languages and sources
+are groups of their own; rows that repeat the kept document of a group stay
+with it; rows without an id stay; an empty table gives an empty result; texts
+of any length pass through whole; further columns of ``documents`` are kept up
+to the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontaminate, jaccard, pii, quality
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import delete_folder, fresh_folder, table
 from tessera.llm.queries import TOKENIZER
 
 
@@ -53,12 +57,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``, each written as Parquet in the shared folder and read again.
+
+    A stage's folder is deleted once the next one is written; the last stays, as the result reads it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{shared_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
+            path = fresh_folder(spark, f"stage-{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                delete_folder(spark, before)
+            before = path
     return docs
