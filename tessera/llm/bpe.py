@@ -10,7 +10,9 @@ Texts are cut at ASCII white space, which no pre-token crosses; a bounded
 cache maps each piece to its packed ids.
 
 Defined cases: null text counts as empty and has no ids; special tokens in a
-text get their ids, as in the library; texts of any length are encoded whole.
+text get their ids, as in the library; texts of any length are encoded whole;
+of pairs with equal rank the leftmost merges first; repeated rows are encoded
+each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -123,6 +125,11 @@ class BytePairEncoder:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.cache.__getitem__, text.split()))
 
+    def forget(self) -> None:
+        """Ends a task: its worker lives on, beside those of other operators."""
+        self.cache.clear()
+        self.tokens.clear()
+
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_packed(text.encode("utf-8"))).cast("I").tolist()
 
@@ -172,6 +179,7 @@ def bpe_digests(docs, path: str):
                 a.append(hashlib.sha256(packed).hexdigest())
                 b.append(hashlib.sha256(coder.decode(memoryview(packed).cast("I").tolist()).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -189,6 +197,7 @@ def bpe_encode(docs, path: str):
                 ids.append(memoryview(coder.encode_packed(text or b"")).cast("I").tolist())
                 texts.append(coder.decode(ids[-1]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        coder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

@@ -45,15 +45,21 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
 
 #: Folders written inside each open ``scratch`` block, innermost last.
 _SCRATCH: list[list[str]] = []
+#: Rows of an Arrow batch inside ``scratch``: texts are long, and the JVM and the Python worker both hold a batch.
+BATCH_ROWS = 2_000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Deletes, on leaving the block, what ``cut`` wrote in it; ``cut(df, keep=True)`` results stay, for the enclosing block."""
     _SCRATCH.append([])
+    rows = spark.conf.get(_ROWS_CONF)
+    spark.conf.set(_ROWS_CONF, str(min(int(rows) if int(rows) > 0 else BATCH_ROWS, BATCH_ROWS)))
     try:
         yield
     finally:
+        spark.conf.set(_ROWS_CONF, rows)
         for path in _SCRATCH.pop():
             delete_folder(spark, path)
 

@@ -13,7 +13,7 @@ from tessera.llm.common import cut
 
 SHINGLE = 5
 #: Shingles that a task counts before it passes them on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Shingles are counted by their top ``COUNTED_BITS`` bits; those of ``FREQUENT`` texts or more are told to all tasks,
 #: the ``MAX_FREQUENT`` most frequent at most (9 bytes each): beyond, the least frequency rises.
 COUNTED_BITS, FREQUENT, MAX_FREQUENT = 48, 4, 2_000_000
