@@ -41,12 +41,12 @@ u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), c(x, y) AS (SELECT doc_id, d
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM c GROUP BY x) m ON m.x = d.doc_id"""
 
 
-def urls(rules: list[tuple], listed: list[str]) -> str:
+def urls(rules: list[tuple], unwanted: tuple[str, ...]) -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
-    hosts = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in listed)
+    words = ", ".join(f"'{w}'" for w in unwanted)
     return f"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
 r(rh, rp, rv) AS (VALUES {values}),
 f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-SELECT h.page_id, host, path, rule, coalesce(rv, CASE WHEN {hosts} THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN f ON h.page_id = f.page_id"""
+SELECT h.page_id, host, path, rule, coalesce(rv, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), [{words}]) THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN f ON h.page_id = f.page_id"""

@@ -32,7 +32,7 @@ RULES = {
     "access": (1, r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (1, r"[0-9a-f]+", 0, 16),
     "pem": (1, r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 1),
-    "jwt": (1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    "jwt": (1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+", 0, 30),
     "forge": (1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     "chat": (1, r"xox[abprs]-[A-Za-z0-9-]+", 0, 24),
 }

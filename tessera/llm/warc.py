@@ -7,9 +7,12 @@ hashes the offset range and hash of up to ``FANOUT`` ordered children, up to
 the root of the file. An audit joins the roots of two replicas and descends
 only under nodes that differ, so intact files cost one comparison.
 
-Defined cases: null URL or content is written as empty; repeated pages are
-records of their own; a record or file that one replica lacks differs; an
-empty table makes no file and an empty audit.
+Defined cases: null URL or content is written as empty; control characters in
+a URL, which no header may hold, are percent-encoded in the file and restored
+on reading; repeated pages are records of their own, with ids of their own; a
+record or file that one replica lacks differs, also if only the index is
+missing; pages of any length are one record; an empty table makes no file and
+an empty audit; other columns of the pages are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 
@@ -26,14 +30,26 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, fresh_folder
 
 FANOUT = 16
+#: Suspects are broadcast to a level's nodes up to so many.
+MAX_BROADCAST_NODES = 200_000
 NODE = "file string, level int, idx long, start long, end long, hash binary"
 
 
-def record(page_id, url: str, content: bytes) -> bytes:
-    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{page_id}>\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(content)}\r\n\r\n"
+#: Of records whose pages have no time of their own; equal in all replicas.
+EPOCH = "1970-01-01T00:00:00Z"
+_CONTROL = "[\\x00-\\x1f\\x7f]"
+
+
+def record(page_id, url: str, content: bytes, place: str = "0") -> bytes:
+    """One WARC record; ``place`` (file and number) sets records of repeated pages apart."""
+    escaped = ""
+    if re.search(_CONTROL, url):
+        url, escaped = re.sub(f"{_CONTROL}|%", lambda m: f"%{ord(m[0]):02X}", url), "X-Escaped: 1\r\n"
+    unique = uuid.uuid5(uuid.NAMESPACE_URL, f"{place}:{page_id}")
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{unique}>\r\nWARC-Date: {EPOCH}\r\nWARC-Target-URI: {url}\r\n{escaped}X-Page-ID: {page_id}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(content)}\r\n\r\n"
     return head.encode("utf-8", "replace") + content + b"\r\n\r\n"
 
 
@@ -41,7 +57,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and content of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
-    headers = dict(x.split(": ", 1) for x in lines[1:])
+    headers = {k: v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
+    if "X-Escaped" in headers:
+        headers["WARC-Target-URI"] = re.sub("%([01][0-9A-F]|7F|25)", lambda m: chr(int(m[1], 16)), headers["WARC-Target-URI"])
     return headers, rest[: int(headers["Content-Length"])]
 
 
@@ -69,7 +87,7 @@ def write_archive(pages: DataFrame, folders: list[str], damage=None) -> DataFram
                     for store, root in stores:
                         store.create_dir(root, recursive=True)
                         outs.append(store.open_output_stream(f"{root}/{name}.warc.gz", compression=None))
-                stored = member(record(page_id, url or "", html or b""))
+                stored = member(record(page_id, url or "", html or b"", f"{name}:{len(ids)}"))
                 for k, out in enumerate(outs):
                     out.write(damage(page_id, stored, k) if damage else stored)
                 offsets.append(offsets[-1] + len(stored))
@@ -117,7 +135,8 @@ def merkle_tree(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column("file").to_pylist():
-                if store.get_file_info(f"{root}/{name}.warc.gz").type != fs.FileType.File:
+                parts = store.get_file_info([f"{root}/{name}.warc.gz", f"{root}/{name}.idx"])
+                if any(p.type != fs.FileType.File for p in parts):
                     continue
                 nodes = nodes_of([(a, a + len(x), hashlib.sha256(x).digest()) for a, x in members_of(store, root, name)])
                 level, idx, start, end, digest = (list(c) for c in zip(*nodes))
@@ -126,7 +145,10 @@ def merkle_tree(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame
                     ["file", "level", "idx", "start", "end", "hash"],
                 )
 
-    return cut(_per_file(spark, files).mapInArrow(run, NODE))
+    made = _per_file(spark, files).mapInArrow(run, NODE)
+    path = fresh_folder(spark, "merkle")
+    made.write.partitionBy("level").parquet(path)  # so that a level is read alone
+    return spark.read.schema(NODE).parquet(path)
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -143,6 +165,9 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         b = right.where(F.col("level") == level).select("file", "idx", F.col("start").alias("s"), F.col("end").alias("e"), F.col("hash").alias("h"))
         roots = tops.where(F.col("level") == level).select("file", F.lit(0).cast("long").alias("idx"))
         look = roots if suspects is None else roots.union(suspects.select("file", F.explode(F.sequence(F.col("idx") * FANOUT, F.col("idx") * FANOUT + FANOUT - 1)).alias("idx")))
+        if suspects is not None:  # of a level only the children of what differs are shuffled
+            small = look.count() <= MAX_BROADCAST_NODES
+            a, b = (x.join(F.broadcast(look) if small else look, ["file", "idx"], "left_semi") for x in (a, b))
         both = look.join(a, ["file", "idx"], "left").join(b, ["file", "idx"], "left").where("hash is not null or h is not null")
         differ = both.where(~(F.col("hash").eqNullSafe(F.col("h")) & F.col("start").eqNullSafe(F.col("s")) & F.col("end").eqNullSafe(F.col("e"))))
         suspects = cut(differ.select("file", "idx", F.coalesce("start", "s").alias("start"), F.coalesce("end", "e").alias("end")))
@@ -159,7 +184,7 @@ def read_records(spark: SparkSession, files: DataFrame, folder: str) -> DataFram
                 rows = []
                 for i, (_, stored) in enumerate(members_of(store, root, name)):
                     headers, content = parse(zlib.decompress(stored, 31))
-                    key = headers["WARC-Record-ID"][10:-1]
+                    key = headers["X-Page-ID"]
                     rows.append((name, i, None if key == "None" else int(key), headers["WARC-Target-URI"], len(content), hashlib.sha256(content).hexdigest()))
                 cols = [list(c) for c in zip(*rows)]
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]

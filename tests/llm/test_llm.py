@@ -439,3 +439,55 @@ def test_pipeline(spark):
         before, docs = docs, stage(spark, docs, sf)
         assert docs.columns == before.columns and docs.count() <= before.count(), k
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_warc_awkward(spark):
+    urls_ = ["http://a/\r\nfoo", "http://a/\r\n\r\nb", "x: y\n", "http://a/%0D%41%25", "", "é\x00\x7f"]
+    pages = spark.createDataFrame([(i % 2, u, "t" * (i * 400_000)) for i, u in enumerate(urls_)], "page_id long, url string, html string")
+    folders = [fresh_folder(spark, f"w{k}") for k in range(2)]
+    files = warc.write_archive(pages, folders)
+    records = warc.read_records(spark, files, folders[0])
+    assert Counter((r.page_id, r.url, r.n_bytes) for r in records.collect()) == Counter((i % 2, u, i * 400_000) for i, u in enumerate(urls_))
+    from pyarrow import fs
+
+    name = files.first().file
+    store, root = fs.FileSystem.from_uri(folders[1])
+    store.delete_file(f"{root}/{name}.idx")
+    trees = [warc.merkle_tree(spark, files, f) for f in folders]
+    n = files.where(F.col("file") == name).first().records
+    assert warc.audit(*trees).where(F.col("file") == name).count() == n
+    a, b = (gzip.decompress(warc.member(warc.record(1, "u", b"x", p))) for p in ("f:0", "f:1"))
+    assert b"WARC-Date: " in a and a.split(b"\r\n")[2] != b.split(b"\r\n")[2]
+    none = pages.where("false")
+    assert warc.read_records(spark, warc.write_archive(none, folders), folders[0]).count() == 0
+    empty_tree = warc.merkle_tree(spark, warc.write_archive(none, folders), folders[0])
+    assert warc.audit(empty_tree, empty_tree).count() == 0
+
+
+def test_jwt_scan_is_linear():
+    import time
+
+    began = time.time()
+    assert secrets.scan(b"eyJ" * 400_000, ["jwt@1"]) == []
+    token = "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".c-d"
+    assert [(f["start"], f["end"]) for f in secrets.scan(f"x {token}, eyJa".encode(), ["jwt@1"])] == [(2, 2 + len(token))]
+    assert time.time() - began < 5
+
+
+def test_urls_awkward(spark):
+    """Canonical forms, long hosts, ties and clashing columns."""
+    listed = spark.createDataFrame([("bad.org", "", "block"), ("one.net", "/a b", "block")], urls.LIST_SCHEMA)
+    rules = spark.createDataFrame([("x.com", "/p", "allow"), ("x.com", "/p", "block"), ("com", "/p/longer", "allow"), (None, "/", "block")], urls.LIST_SCHEMA)
+    long = ".".join(["a"] * 20_000) + ".bad.org"
+    rows = [
+        (1, "http://me:pw@www.BAD.org.:8080/x", "block"), (2, "https://one.net/a%20b?q", "block"), (3, "https://one.net/a%20c", "allow"), (4, "https://sub.one.net/a b", "allow"),
+        (5, f"http://{long}/", "block"), (6, "http://x.com/pq", "block"), (7, "http://x.com/p/longer", "allow"), (8, "http://notbad.org", "allow"), (9, "http://one.net/%zz+", "allow"), (10, None, "allow"),
+    ]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u, _ in rows], "page_id long, url string, Host string")
+    got = urls.url_verdicts(pages, rules, listed)
+    assert got.columns == ["page_id", "url", "Host", "host_", "path", "rule", "verdict"]
+    assert {r.page_id: r.verdict for r in got.collect()} == {i: v for i, _, v in rows}
+    assert {r.Host for r in got.collect()} == {"mine"}
+    assert urls.url_verdicts(pages.where("false"), rules, listed).count() == 0
+    made = urls.listed_by_words(spark.createDataFrame([("http://m.casino-win.example.com/x?y",), ("http://casinos.com/",)], "url string"), ("casino",))
+    assert [tuple(r) for r in made.collect()] == [("m.casino-win.example.com", "/x", "block")]
