@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that executors share; one under /tmp only where none is named."""
+    """The checkpoint folder that executors share; where none is named, one under /tmp with a local master, else an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if conf is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (conf or "file:///tmp/checkpoints").rstrip("/")
 
 
+#: Rounds of a loop after which what it has found is written as one table, so that a round reads few.
+COMPACT_EVERY = 4
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: ends lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
@@ -42,6 +49,7 @@ def bfs(edges: DataFrame, start, max_depth: int = 1_000_000) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionAll(front)
+        seen = cut(seen) if depth % COMPACT_EVERY == 0 else seen
     return seen
 
 
@@ -112,6 +120,7 @@ def all_pairs(edges: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionAll(front)
+        seen = cut(seen) if depth % COMPACT_EVERY == 0 else seen
     return seen
 
 

@@ -1,7 +1,7 @@
 """Cypher reads compiled to joins over node and edge tables.
 
 MATCH and OPTIONAL MATCH with labels, property maps, typed, directed and
-variable-length (``*a..b``) relationships, WHERE, WITH, UNWIND, RETURN with
+variable-length (``*a..b``, or open ``*a..``) relationships, WHERE, WITH, UNWIND, RETURN with
 DISTINCT, aggregates (implicit grouping), ORDER BY, SKIP, LIMIT, and ``AS OF``.
 Relationships of one MATCH are distinct, as in the language.
 """
@@ -9,9 +9,13 @@ Relationships of one MATCH are distinct, as in the language.
 from __future__ import annotations
 
 import re
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.operators.graph import cut
 
 _CLAUSE = re.compile(r"(?<!STARTS )(?<!ENDS )\b(OPTIONAL\s+MATCH|MATCH|WHERE|WITH|UNWIND|RETURN|ORDER\s+BY|SKIP|LIMIT)\b(?=(?:[^']*'[^']*')*[^']*$)", re.I)
 _NODE = re.compile(r"\(\s*(\w*)\s*(?::\s*(\w+))?\s*(\{[^}]*\})?\s*\)")
@@ -59,10 +63,18 @@ def split_top(text: str) -> list[str]:
 
 class Cypher:
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame):
-        self.spark, self.nodes, self.edges = spark, nodes, edges
+        self.spark, self.nodes, self.edges = spark, nodes, edges.withColumn("_eid", self.identity(edges))
         self.rows: DataFrame | None = None
         self.n = 0
 
+    @staticmethod
+    def identity(edges: DataFrame):
+        """Of each relationship: its id, or else its place among parallel ones."""
+        if "id" in edges.columns:
+            return F.xxhash64("id")
+        same = Window.partitionBy("src", "dst", "type").orderBy(*[c for c in edges.columns if c not in ("src", "dst", "type")] or [F.lit(1)])
+        return F.xxhash64("src", "dst", "type", F.row_number().over(same))
+
     def name(self, given: str) -> str:
         self.n += 1
         return given or f"_x{self.n}"
@@ -98,7 +110,6 @@ class Cypher:
             m = _NODE.match(text, e.end())
             rel = self.name(e[2])
             pool = self.edges.where(F.col("type").isin(*e[3].split("|"))) if e[3] else self.edges
-            pool = pool.withColumn("_eid", F.xxhash64("src", "dst", "type"))
             ways = [("src", "dst")] if e[8] and not e[1] else [("dst", "src")] if e[1] and not e[8] else [("src", "dst"), ("dst", "src")]
             steps = None
             for a, b in ways:
@@ -107,7 +118,7 @@ class Cypher:
                 steps = part if steps is None else steps.union(part)
             if e[4]:
                 low = int(e[5]) if e[5] else 1
-                high = int(e[7]) if e[7] else (low if e[5] and not e[6] else 10)
+                high = int(e[7]) if e[7] else (low if e[5] and not e[6] else None)
                 steps = self.walks(steps, rel, low, high)
             out = out.join(steps, F.col(f"`{var}.id`") == F.col(f"_{rel}_a")).drop(f"_{rel}_a")
             for other in used:
@@ -119,19 +130,21 @@ class Cypher:
         return out
 
     @staticmethod
-    def walks(step: DataFrame, rel: str, low: int, high: int) -> DataFrame:
-        """Paths of low to high steps that use no relationship twice, by bounded unrolled joins."""
+    def walks(step: DataFrame, rel: str, low: int, high: int | None) -> DataFrame:
+        """Paths of low to high steps that use no relationship twice; without ``high``, until a round adds none."""
         a, b, e = f"_{rel}_a", f"_{rel}_b", f"_{rel}_e"
         cur, out = step.select(a, b, e), None
         if low == 0:
             out = step.select(F.explode(F.array(a, b)).alias(a)).distinct().select(a, F.col(a).alias(b), F.array().cast("array<bigint>").alias(e))
         nxt = step.select(F.col(a).alias("_m"), F.col(b).alias("_nb"), F.col(e).alias("_ne"))
-        for k in range(1, high + 1):
+        for k in count(1):
             if k >= low:
                 out = cur if out is None else out.union(cur)
-            if k < high:
+            if high is not None and k >= high or high is None and cur.isEmpty():
+                return out if out is not None else cur
+            if high is None or k < high:
                 cur = cur.join(nxt, (F.col(b) == F.col("_m")) & ~F.arrays_overlap(F.col(e), F.col("_ne"))).select(a, F.col("_nb").alias(b), F.concat(e, "_ne").alias(e))
-        return out
+                cur = cut(cur) if high is None else cur
 
     def project(self, body: str) -> None:
         distinct = bool(re.match(r"DISTINCT\b", body, re.I))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,8 +176,8 @@ class Engine:
         for b in rule.body:
             if b.negated and b.name in self.known:
                 rows = self.bound(b, self.known[b.name])
-                on = [c for c in rows.columns if c in out.columns]
-                out = out.join(rows.distinct(), on, "left_anti")
+                on = [c for c in rows.columns if c in out.columns and c != "_one"]
+                out = out.join(rows.distinct(), on, "left_anti") if on else out.join(rows.limit(1), F.lit(True), "left_anti")
         keys, aggs, order = [], [], []
         for i, a in enumerate(rule.head.args):
             name = f"c{i}"
@@ -190,7 +191,8 @@ class Engine:
             return out.groupBy(*keys).agg(*aggs).select(*order)
         return out.select(*keys).distinct()
 
-    def run(self, rules: list[Rule], max_rounds: int = 10_000) -> None:
+    def run(self, rules: list[Rule], max_rounds: int | None = None) -> None:
+        """Evaluate all rules to their fixpoint; an error after ``max_rounds`` without one, if given."""
         for names in strata(rules):
             own = [r for r in rules if r.head.name in names]
             delta = {}
@@ -210,7 +212,9 @@ class Engine:
                     first = self.evaluate(r)
                     if first is not None:
                         self.known[r.head.name] = delta[r.head.name] = cut(first)
-            for _ in range(max_rounds if recursive else 0):
+            for done in count() if recursive else ():
+                if max_rounds is not None and done >= max_rounds:
+                    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
                 fresh: dict[str, DataFrame] = {}
                 for r, i in recursive:
                     if r.body[i].name not in delta:

@@ -110,10 +110,10 @@ def graphql_nested(spark, sf_dir):
 
 
 @query("influx_mean", """
-WITH b AS (SELECT event_type, (epoch_us(ts) // 21600000000) * 21600000000 AS time, avg(value) AS m FROM events WHERE user_id < 50 GROUP BY ALL), g AS (SELECT event_type, unnest(range(min(time), max(time) + 1, 21600000000)) AS time FROM b GROUP BY event_type)
+WITH b AS (SELECT event_type, (epoch_us(ts) // 21600000000) * 21600000000 AS time, avg(value) AS m FROM events GROUP BY ALL), g AS (SELECT event_type, unnest(range(min(time), max(time) + 1, 21600000000)) AS time FROM b GROUP BY event_type)
 SELECT g.event_type, g.time, round(last_value(m IGNORE NULLS) OVER (PARTITION BY g.event_type ORDER BY g.time), 6) AS m FROM g LEFT JOIN b ON g.event_type = b.event_type AND g.time = b.time""")
 def influx_mean(spark, sf_dir):
-    out = run_influx("SELECT MEAN(value) AS m FROM events WHERE user_id < 50 GROUP BY time(6h), event_type FILL(previous)", {"events": table(spark, sf_dir, "events")})
+    out = run_influx("SELECT MEAN(value) AS m FROM events GROUP BY time(6h), event_type FILL(previous)", {"events": table(spark, sf_dir, "events")})
     return out.select("event_type", "time", F.round("m", 6).alias("m"))
 
 
@@ -259,13 +259,13 @@ def sig_zero(spark, sf_dir):
 
 @query("sig_spectrum")
 def sig_spectrum(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 20")
+    e = table(spark, sf_dir, "events")
     return signal.spectral_summary(signal.spectrum(e, "user_id", ["ts", "event_id"], "value", 1.0), "user_id")
 
 
 # --------------------------------------------------------------- scalar functions
-sql("fn_strings", "SELECT c_custkey, levenshtein(c_mktsegment, 'BUILDINGS') AS lev, soundex(c_mktsegment) AS sx, initcap(lower(c_mktsegment)) AS ic, base64(encode(c_name, 'utf-8')) AS b64, hex(encode(c_mktsegment, 'utf-8')) AS hx, reverse(c_name) AS rv FROM customer WHERE c_custkey < 200",
-    "SELECT c_custkey, CAST(levenshtein(c_mktsegment, 'BUILDINGS') AS INTEGER) AS lev, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'A351' WHEN 'BUILDING' THEN 'B435' WHEN 'FURNITURE' THEN 'F653' WHEN 'HOUSEHOLD' THEN 'H243' WHEN 'MACHINERY' THEN 'M256' END AS sx, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS ic, base64(encode(c_name)) AS b64, hex(encode(c_mktsegment)) AS hx, reverse(c_name) AS rv FROM customer WHERE c_custkey < 200")
+sql("fn_strings", "SELECT c_custkey, levenshtein(c_mktsegment, 'BUILDINGS') AS lev, soundex(c_mktsegment) AS sx, initcap(lower(c_mktsegment)) AS ic, base64(encode(c_name, 'utf-8')) AS b64, hex(encode(c_mktsegment, 'utf-8')) AS hx, reverse(c_name) AS rv FROM customer",
+    "SELECT c_custkey, CAST(levenshtein(c_mktsegment, 'BUILDINGS') AS INTEGER) AS lev, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'A351' WHEN 'BUILDING' THEN 'B435' WHEN 'FURNITURE' THEN 'F653' WHEN 'HOUSEHOLD' THEN 'H243' WHEN 'MACHINERY' THEN 'M256' END AS sx, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS ic, base64(encode(c_name)) AS b64, hex(encode(c_mktsegment)) AS hx, reverse(c_name) AS rv FROM customer")
 sql("fn_hashes", "SELECT p_partkey, md5(p_name) AS m, sha2(p_name, 256) AS s FROM part", "SELECT p_partkey, md5(p_name) AS m, sha256(p_name) AS s FROM part")
 sql("fn_dates", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS ms, last_day(o_orderdate) AS ld, weekofyear(o_orderdate) AS wk FROM orders",
     "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(date_trunc('month', o_orderdate) AS DATE) AS ms, last_day(o_orderdate) AS ld, CAST(weekofyear(o_orderdate) AS INTEGER) AS wk FROM orders")

@@ -62,60 +62,132 @@ def run_influx(text: str, tables: dict[str, DataFrame], time: str = "ts") -> Dat
     return out.orderBy("time", *tags).limit(int(m["l"])) if m["l"] else out
 
 
-def run_promql(text: str, samples: DataFrame, at_us: int) -> DataFrame:
+_OVER_TIME = {
+    "avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "stddev": F.stddev_pop, "stdvar": F.var_pop,
+    "last": lambda c: F.max_by(c, "ts"), "present": lambda c: F.lit(1.0) + F.count(c) * 0,
+}
+_INSTANT = {
+    "abs": F.abs, "ceil": F.ceil, "floor": F.floor, "sqrt": F.sqrt, "exp": F.exp, "ln": F.log, "log2": F.log2, "log10": F.log10, "sgn": F.signum,
+    "round": lambda c, to=1.0: F.floor(c / F.lit(float(to)) + 0.5) * F.lit(float(to)),
+    "clamp_min": lambda c, low: F.greatest(c, F.lit(float(low))), "clamp_max": lambda c, high: F.least(c, F.lit(float(high))),
+    "clamp": lambda c, low, high: F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high))),
+}
+_STEPPED = ("rate", "increase", "delta", "irate", "idelta", "changes", "resets")
+_RANGED = (*_STEPPED, "deriv", "predict_linear", "quantile_over_time", *(f"{k}_over_time" for k in _OVER_TIME))
+_GROUPED = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "stddev": F.stddev_pop, "stdvar": F.var_pop, "group": lambda c: F.lit(1.0) + F.count(c) * 0}
+
+
+def _arguments(text: str) -> list[str]:
+    """Arguments of a call, cut at commas outside brackets and strings."""
+    out, depth, quote, at = [], 0, False, 0
+    for i, c in enumerate(text):
+        quote ^= c == '"'
+        depth += 0 if quote else (c in "([{") - (c in ")]}")
+        if c == "," and not depth and not quote:
+            out.append(text[at:i].strip())
+            at = i + 1
+    return [*out, text[at:].strip()]
+
+
+def run_promql(text: str, samples: DataFrame, at_us: int, lookback_us: int = 300_000_000) -> DataFrame:
     """An instant query over samples (metric, labels as columns, ts, value).
 
-    Selectors with label matchers, range functions (rate, increase, delta,
-    avg/min/max/sum/count_over_time), aggregations ``by`` labels, topk and
-    bottomk. Range windows are (at - range, at]; counter resets are added back.
+    Selectors with label matchers; over ranges rate, increase, delta, irate,
+    idelta, changes, resets, deriv, predict_linear and the ``_over_time``
+    functions; over instant vectors arithmetic functions; aggregations ``by``
+    labels, quantile, topk and bottomk. Range windows are (at - range, at];
+    counter resets are added back; an instant vector has the last sample of
+    ``lookback_us``. Any other function is an error.
     """
     text = text.strip()
-    if m := re.fullmatch(r"(topk|bottomk)\s*\(\s*(\d+)\s*,\s*(.*)\)", text, re.S):
-        rows = run_promql(m[3], samples, at_us)
+    again = lambda t: run_promql(t, samples, at_us, lookback_us)
+    if m := re.fullmatch(r"(topk|bottomk|quantile)\s*(?:by\s*\(([^)]*)\))?\s*\(\s*([\d.]+)\s*,\s*(.*)\)", text, re.S):
+        rows = again(m[4])
         keys = [c for c in rows.columns if c != "value"]
-        return rows.orderBy(F.col("value").desc() if m[1] == "topk" else F.col("value"), *keys).limit(int(m[2]))
-    if m := re.fullmatch(r"(sum|avg|min|max|count)\s*(?:by\s*\(([^)]*)\))?\s*\((.*)\)", text, re.S):
-        rows = run_promql(m[3], samples, at_us)
         by = [x.strip() for x in (m[2] or "").split(",") if x.strip()]
-        return rows.groupBy(*by).agg(getattr(F, m[1])("value").alias("value"))
-    fn = None
+        if m[1] == "quantile":
+            return rows.groupBy(*by).agg(F.percentile("value", F.lit(float(m[3]))).alias("value"))
+        order = [F.col("value").desc() if m[1] == "topk" else F.col("value"), *keys]
+        if by:
+            return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= int(m[3])).drop("_r")
+        return rows.orderBy(*order).limit(int(m[3]))
+    if m := re.fullmatch(rf"({'|'.join(_GROUPED)})\s*(?:by\s*\(([^)]*)\))?\s*\((.*)\)", text, re.S):
+        rows = again(m[3])
+        by = [x.strip() for x in (m[2] or "").split(",") if x.strip()]
+        return rows.groupBy(*by).agg(_GROUPED[m[1]]("value").alias("value"))
+    fn, args = None, []
     if m := re.fullmatch(r"(\w+)\s*\((.*)\)", text, re.S):
-        fn, text = m[1], m[2].strip()
+        fn, args = m[1], _arguments(m[2])
+        if fn in _INSTANT:
+            return again(args[0]).withColumn("value", _INSTANT[fn](F.col("value"), *args[1:]))
+        if fn not in _RANGED:
+            raise ValueError(f"unknown function {fn}")
+        text = args[1] if fn == "quantile_over_time" else args[0]
     m = re.fullmatch(r"(\w+)\s*(?:\{([^}]*)\})?\s*(?:\[(\w+)\])?", text)
     if not m:
         raise ValueError(f"cannot parse {text}")
+    if bool(fn) != bool(m[3]):
+        raise ValueError(f"{fn} needs a range" if fn else "a range needs a function")
     df = samples.where(F.col("metric") == m[1])
     for k, op, v in re.findall(r"(\w+)\s*(=~|!~|!=|=)\s*\"([^\"]*)\"", m[2] or ""):
         c = F.col(k)
         df = df.where({"=": c == v, "!=": c != v, "=~": c.rlike(f"^(?:{v})$"), "!~": ~c.rlike(f"^(?:{v})$")}[op])
     labels = [c for c in df.columns if c not in ("metric", "ts", "value")]
     t = ts.micros("ts")
-    if not m[3]:
-        inside = df.where((t <= at_us) & (t > at_us - 300_000_000))
-        return inside.groupBy(*labels).agg(F.max_by("value", "ts").alias("value"))
-    width = duration_us(m[3])
+    width = duration_us(m[3]) if m[3] else lookback_us
     inside = df.where((t <= at_us) & (t > at_us - width))
-    if fn and fn.endswith("_over_time"):
-        return inside.groupBy(*labels).agg(getattr(F, fn[: -len("_over_time")])("value").alias("value"))
+    if not fn:
+        return inside.groupBy(*labels).agg(F.max_by("value", "ts").alias("value"))
+    if fn == "quantile_over_time":
+        return inside.groupBy(*labels).agg(F.percentile("value", F.lit(float(args[0]))).alias("value"))
+    if fn.endswith("_over_time"):
+        return inside.groupBy(*labels).agg(_OVER_TIME[fn[: -len("_over_time")]](F.col("value")).alias("value"))
+    if fn in ("deriv", "predict_linear"):
+        x = (t - at_us) / 1e6
+        slope, level = F.regr_slope(F.col("value"), x), F.regr_intercept(F.col("value"), x)
+        ahead = slope if fn == "deriv" else level + slope * float(args[1])
+        return inside.groupBy(*labels).agg(ahead.alias("value"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     w = Window.partitionBy(*labels).orderBy("ts")
     prev = F.lag("value").over(w)
-    step = F.when(prev.isNull(), 0.0).when((F.col("value") < prev) & F.lit(fn in ("rate", "increase")), F.col("value")).otherwise(F.col("value") - prev)
-    total = inside.withColumn("_d", step).groupBy(*labels).agg(F.sum("_d").alias("value"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    reset = F.col("value") < prev
+    if fn in ("changes", "resets"):
+        odd = F.coalesce((reset if fn == "resets" else F.col("value") != prev).cast("double"), F.lit(0.0))
+        return inside.withColumn("_d", odd).groupBy(*labels).agg(F.sum("_d").alias("value"))
+    step = F.when(prev.isNull(), 0.0).when(reset & F.lit(fn in ("rate", "increase", "irate")), F.col("value")).otherwise(F.col("value") - prev)
+    stepped = inside.withColumns({"_d": step, "_s": (t - F.lag(t).over(w)) / 1e6})
+    if fn in ("irate", "idelta"):
+        last = stepped.groupBy(*labels).agg(F.max_by(F.struct("_d", "_s"), "ts").alias("_l"), F.count("*").alias("_n")).where("_n > 1")
+        return last.select(*labels, (F.col("_l._d") / F.col("_l._s") if fn == "irate" else F.col("_l._d")).alias("value"))
+    total = stepped.groupBy(*labels).agg(F.sum("_d").alias("value"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return total.withColumn("value", F.col("value") / (width / 1e6)) if fn == "rate" else total
 
 
-def cql_to_sql(text: str) -> str:
-    """CQL reads as Spark SQL: no-op clauses go, quoted keyspaces are dropped."""
+def cql_to_sql(text: str, keys: dict[str, tuple[list[str], list[str]]] | None = None) -> str:
+    """CQL reads as Spark SQL: no-op clauses go, quoted keyspaces are dropped.
+
+    ``keys`` has each table's partition and clustering columns, by which ``PER PARTITION LIMIT`` counts.
+    """
     out = re.sub(r"\bALLOW\s+FILTERING\b", "", text, flags=re.I)
     out = re.sub(r"\bUSING\s+(?:TTL|TIMESTAMP)\s+\d+(?:\s+AND\s+(?:TTL|TIMESTAMP)\s+\d+)*", "", out, flags=re.I)
-    out = re.sub(r"\bPER\s+PARTITION\s+LIMIT\s+\d+", "", out, flags=re.I)
     out = re.sub(r"\bFROM\s+\w+\.(\w+)", r"FROM \1", out, flags=re.I)
+    if m := re.search(r"\bPER\s+PARTITION\s+LIMIT\s+(\d+)", out, re.I):
+        out = out[: m.start()] + out[m.end() :]
+        name = re.search(r"\bFROM\s+(\w+)", out, re.I)[1]
+        if name not in (keys or {}):
+            raise ValueError(f"PER PARTITION LIMIT needs the keys of {name}")
+        parts, order = keys[name]
+        tail = re.search(r"\bORDER\s+BY\s+(.*?)(?=\bLIMIT\b|;|$)", out, re.I | re.S)
+        by = tail[1].strip() if tail else ", ".join(order or parts)
+        at = re.search(r"\bORDER\s+BY\b|\bLIMIT\b|;|$", out, re.I).start()
+        out = f"{out[:at]} QUALIFY row_number() OVER (PARTITION BY {', '.join(parts)} ORDER BY {by}) <= {m[1]} {out[at:]}"
     out = re.sub(r"(\w+)\s+CONTAINS\s+('(?:[^']|'')*'|\d+)", r"array_contains(\1, \2)", out, flags=re.I)
     return re.sub(r"\bsystem\.", "", out).strip().rstrip(";")
 
 
-def run_cql(spark: SparkSession, text: str) -> DataFrame:
-    return spark.sql(cql_to_sql(text))
+def run_cql(spark: SparkSession, text: str, keys: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
+    from tessera.plans.sql import rewrite_qualify
+
+    return spark.sql(rewrite_qualify(cql_to_sql(text, keys)))
 
 
 _GQL = re.compile(r"\s*(\"[^\"]*\"|\.\.\.|-?\d+(?:\.\d+)?|\$?\w+|[{}()\[\]:@,!])")

@@ -45,7 +45,7 @@ sql("scan_project_filter", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM
 sql("columnar_aggregate", "SELECT round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 6) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi, count(l_quantity) AS n FROM lineitem")
 sql("expr_arithmetic", """
 SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) % 7 AS md, -l_linenumber AS neg, l_extendedprice / l_quantity AS unit,
-  (l_linenumber + 3) * 2 - 1 AS a FROM lineitem WHERE l_linenumber <= 2""")
+  (l_linenumber + 3) * 2 - 1 AS a FROM lineitem""")
 sql("expr_bitwise", """
 SELECT o_orderkey, o_orderkey & 255 AS b_and, o_orderkey | 7 AS b_or, o_orderkey ^ 1023 AS b_xor, ~o_orderkey AS b_not FROM orders""", """
 SELECT o_orderkey, o_orderkey & 255 AS b_and, o_orderkey | 7 AS b_or, xor(o_orderkey, 1023) AS b_xor, ~o_orderkey AS b_not FROM orders""")
@@ -62,12 +62,12 @@ FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total
 sql("case_simple", """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'other' END AS status,
   CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS band FROM orders""")
-sql("cast_values", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS s, CAST(o_totalprice AS BIGINT) AS whole, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice = floor(o_totalprice) OR o_orderkey < 500",
-    "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(trunc(o_totalprice) AS BIGINT) AS whole, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice = floor(o_totalprice) OR o_orderkey < 500")
+sql("cast_values", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS s, CAST(o_totalprice AS BIGINT) AS whole, CAST(o_orderdate AS DATE) AS d FROM orders",
+    "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(trunc(o_totalprice) AS BIGINT) AS whole, CAST(o_orderdate AS DATE) AS d FROM orders")
 sql("string_predicates", "SELECT c_custkey, c_name FROM customer WHERE startswith(c_name, 'Cust') AND endswith(c_name, '7') AND contains(c_name, '1') AND c_name RLIKE '[0-9]{3}$'",
     "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Cust') AND ends_with(c_name, '7') AND contains(c_name, '1') AND regexp_matches(c_name, '[0-9]{3}$')")
-sql("safe_division", "SELECT l_orderkey, l_linenumber, try_divide(l_extendedprice, l_linenumber - 1) AS q FROM lineitem WHERE l_orderkey < 300",
-    "SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_linenumber - 1, 0) AS q FROM lineitem WHERE l_orderkey < 300")
+sql("safe_division", "SELECT l_orderkey, l_linenumber, try_divide(l_extendedprice, l_linenumber - 1) AS q FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_linenumber - 1, 0) AS q FROM lineitem")
 sql("insert_select_union", "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_suppkey, s_name FROM supplier")
 sql("update_rewrite", "SELECT p_partkey, CASE WHEN p_size > 25 THEN round(p_retailprice * 1.1, 2) ELSE p_retailprice END AS p_retailprice FROM part")
 sql("delete_rewrite", "SELECT p_partkey, p_name FROM part WHERE NOT (p_size > 25)")
@@ -92,7 +92,7 @@ sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_cust
 sql("not_in_subquery", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 sql("join_lateral", "SELECT n_name, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t")
 sql("triangle_join", """
-WITH e AS (SELECT DISTINCT l_partkey % 40 AS a, l_suppkey % 40 AS b FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40)
+WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey <> l_suppkey)
 SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a""")
 
 # -------------------------------------------------------------- aggregation

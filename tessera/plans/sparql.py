@@ -20,6 +20,8 @@ _TOKEN = re.compile(r"\s*(?:#[^\n]*)?\s*(\"[^\"]*\"|'[^']*'|<[^<>\s]*>|\?\w+|\^|
 class Sparql:
     def __init__(self, spark: SparkSession, triples: DataFrame, text: str):
         self.spark, self.triples = spark, triples.select("subject", "predicate", "object")
+        #: Variables that some rows leave unbound.
+        self.unbound: set[str] = set()
         self.t, self.i, self.prefixes = [m[1] for m in _TOKEN.finditer(text)], 0, {}
 
     def peek(self, k: int = 0) -> str:
@@ -122,13 +124,28 @@ class Sparql:
                 cols[t] = c
         return rows.select(*[F.col(c).alias(v) for v, c in cols.items()]) if cols else rows.select(F.lit(1).alias("_one")).distinct()
 
-    @staticmethod
-    def join(a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
+    def join(self, a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
+        """Compatible rows: shared variables are equal, or unbound (after OPTIONAL or UNION) on a side, which then takes the other's value."""
         if a is None:
             return b
         on = [c for c in b.columns if c in a.columns and c != "_one"]
+        if how == "left_anti" and not on:
+            return a  # MINUS without a shared variable removes nothing
         b = b.drop("_one") if "_one" in b.columns and "_one" in a.columns else b
-        return a.join(b, on, how) if on else (a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how))
+        if not on:
+            return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
+        if not self.unbound & set(on):
+            return a.join(b, on, how)
+        right = b.withColumnsRenamed({c: f"_r_{c}" for c in on})
+        fits, both = F.lit(True), F.lit(False)
+        for c in on:
+            equal = F.col(c) == F.col(f"_r_{c}")
+            fits &= equal | F.col(c).isNull() | F.col(f"_r_{c}").isNull() if c in self.unbound else equal
+            both |= F.coalesce(equal, F.lit(False))
+        if how == "left_anti":
+            return a.join(right, fits & both, how)
+        out = a.join(right, fits, how)
+        return out.withColumns({c: F.coalesce(c, f"_r_{c}") for c in on}).drop(*[f"_r_{c}" for c in on])
 
     def group(self) -> DataFrame:
         self.take("{")
@@ -137,7 +154,10 @@ class Sparql:
             w = self.word()
             if w == "OPTIONAL":
                 self.take()
-                out = self.join(out, self.group(), "left")
+                before = set(out.columns) if out is not None else set()
+                part = self.group()
+                out = self.join(out, part, "left")
+                self.unbound |= set(part.columns) - before
             elif w == "MINUS":
                 self.take()
                 out = self.join(out, self.group(), "left_anti")
@@ -155,7 +175,9 @@ class Sparql:
                 part = self.select() if self.peek(1).upper() == "SELECT" else self.group()
                 while self.word() == "UNION":
                     self.take()
-                    part = part.unionByName(self.group(), allowMissingColumns=True)
+                    other = self.group()
+                    self.unbound |= set(part.columns) ^ set(other.columns)
+                    part = part.unionByName(other, allowMissingColumns=True)
                 out = self.join(out, part)
             else:
                 out = self.join(out, self.pattern())

@@ -2,14 +2,17 @@
 
 Rewritten are ``QUALIFY``, comparisons with ``ANY``/``ALL`` subqueries,
 ``GROUPS`` window frames, system-time travel, the vector operators
-``<-> <#> <=>`` and the JSON operators ``-> ->> #> #>> @> ?``. Everything else
+``<-> <#> <=>`` and the JSON operators ``-> ->> #> #>> @> <@ ?``. Everything else
 goes to Spark unchanged.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _OPERAND = r"(?:[A-Za-z_][\w.]*(?:\([^()]*\))?|'(?:[^']|'')*'|\([^()]*\)|\$?\d+(?:\.\d+)?)"
@@ -95,16 +98,20 @@ def rewrite_groups_frame(text: str) -> str:
 
 def rewrite_qualify(text: str) -> str:
     """``QUALIFY p`` at the end of a select: the predicate filters an outer select, without its helper column."""
-    m = re.search(r"\bQUALIFY\b(?P<p>.*?)(?P<rest>\bORDER\s+BY\b.*|\bLIMIT\b.*)?$", text, re.I | re.S)
-    if not m or m["p"].count("(") != m["p"].count(")"):
-        # an ORDER BY inside the predicate's OVER clause belongs to the predicate
-        m = re.search(r"\bQUALIFY\b(?P<p>.*)(?P<rest>)$", text, re.I | re.S)
+    m = re.search(r"\bQUALIFY\b", text, re.I)
     if not m:
         return text
+    depth, end = 0, len(text)  # an ORDER BY inside the predicate's OVER clause belongs to the predicate
+    for x in re.finditer(r"[()]|\b(?:ORDER\s+BY|LIMIT)\b", text[m.end() :], re.I):
+        depth += {"(": 1, ")": -1}.get(x[0], 0)
+        if x[0] not in "()" and depth == 0:
+            end = m.end() + x.start()
+            break
+    predicate, rest = text[m.end() : end].strip(), text[end:]
     head = text[: m.start()]
     s = re.search(r"\bSELECT\b", head, re.I)
-    inner = head[: s.end()] + f" ({m['p'].strip()}) AS _qualify, " + head[s.end() :]
-    return f"SELECT * EXCEPT (_qualify) FROM ({inner}) WHERE _qualify {m['rest'] or ''}"
+    inner = head[: s.end()] + f" ({predicate}) AS _qualify, " + head[s.end() :]
+    return f"SELECT * EXCEPT (_qualify) FROM ({inner}) WHERE _qualify {rest}"
 
 
 def rewrite_time_travel(text: str) -> str:
@@ -134,8 +141,36 @@ def vector_sql(kind: str, a: str, b: str) -> str:
     return f"(CASE WHEN size({a}) = size({b}) THEN {body} END)"
 
 
-def rewrite_operators(text: str) -> str:
-    """Vector and JSON operators between simple operands."""
+_MASKED = re.compile("\x01(\\d+)\x01")
+
+
+def json_contains(value: str, wanted) -> str:
+    """Spark SQL for: the JSON text ``value`` contains the parsed JSON ``wanted``, as objects, arrays and scalars do."""
+    if isinstance(wanted, dict):
+        parts = [f"{value} IS NOT NULL"]
+        for k, v in wanted.items():
+            key = k.replace("'", "\\'")
+            parts.append(json_contains(f"get_json_object({value}, '$[\\'{key}\\']')", v))
+        return "(" + " AND ".join(parts) + ")"
+    if isinstance(wanted, list):
+        items = f"from_json({value}, 'ARRAY<STRING>')"
+        parts = [f"{value} IS NOT NULL", *(f"exists({items}, _j -> {json_contains('_j', w)})" for w in wanted)]
+        return "(" + " AND ".join(parts) + ")"
+    if wanted is None:
+        return f"({value} IS NULL)"
+    text = json.dumps(wanted) if not isinstance(wanted, str) else wanted
+    return f"coalesce({value} = '{text.replace(chr(39), chr(39) * 2)}', false)"
+
+
+def rewrite_operators(text: str, literals: list[str] = (), cosine: tuple[bool, ...] | None = None) -> str:
+    """Vector and JSON operators between simple operands.
+
+    ``literals`` holds the strings whose places are masked in ``text``;
+    ``cosine`` tells of each ``<=>`` whether it is the distance or null-safe equality.
+    """
+
+    def plain(value: str) -> str:
+        return _MASKED.sub(lambda m: literals[int(m[1])], value.strip("'")).replace("''", "'")
 
     def binary(op: str, make) -> None:
         nonlocal text
@@ -144,15 +179,25 @@ def rewrite_operators(text: str) -> str:
             text = text[: m.start()] + make(m[1], m[2]) + text[m.end() :]
 
     def path(value: str) -> str:
-        v = value.strip("'")
+        v = plain(value)
         return f"$[{v}]" if v.isdigit() else f"$.{v}"
 
     def deep(value: str) -> str:
-        return "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in value.strip("'").strip("{}").split(","))
+        return "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in plain(value).strip("{}").split(","))
+
+    turns = iter(cosine or ())
+
+    def spaceship(a: str, b: str) -> str:
+        return vector_sql("cosine", a, b) if next(turns, True) else f"({a} IS NOT DISTINCT FROM {b})"
+
+    def contains(a: str, b: str) -> str:
+        return json_contains(a, json.loads(plain(b))) if b[0] == "'" else f"(size(array_except({b}, {a})) = 0)"
 
     binary("<->", lambda a, b: vector_sql("l2", a, b))
     binary("<#>", lambda a, b: vector_sql("inner", a, b))
-    binary("<=>(?!\\s*NULL)", lambda a, b: vector_sql("cosine", a, b) if re.search(r"embedding|array|vec", a + b, re.I) else f"({a} IS NOT DISTINCT FROM {b})")
+    binary("<=>", spaceship)
+    binary("@>", contains)
+    binary("<@", lambda a, b: contains(b, a))
     binary("#>>", lambda a, b: f"get_json_object({a}, '{deep(b)}')")
     binary("#>", lambda a, b: f"get_json_object({a}, '{deep(b)}')")
     binary("->>", lambda a, b: f"get_json_object({a}, '{path(b)}')")
@@ -161,23 +206,45 @@ def rewrite_operators(text: str) -> str:
     return text
 
 
-def rewrite(text: str) -> str:
-    out = rewrite_time_travel(text)
+def rewrite(text: str, cosine: tuple[bool, ...] | None = None) -> str:
+    """All rewrites; what stands in string literals and comments is left alone."""
+    literals: list[str] = []
+
+    def mask(m: re.Match) -> str:
+        if m[0][0] != "'":
+            return " " if m[0][0] in "-/" else m[0]
+        literals.append(m[0][1:-1])
+        return f"'\x01{len(literals) - 1}\x01'"
+
+    out = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*(?!\+).*?\*/|`[^`]*`", mask, text, flags=re.S)
+    out = rewrite_time_travel(out)
     out = rewrite_any_all(out)
     if re.search(r"\bGROUPS\b", out, re.I):
         out = rewrite_groups_frame(out)
     if re.search(r"\bQUALIFY\b", out, re.I):
         out = rewrite_qualify(out)
-    if re.search(r"<->|<#>|<=>|#>|->>|->\s*'|\?\s*'", out):
-        out = rewrite_operators(out)
-    return out
+    if re.search(r"<->|<#>|<=>|#>|->>|@>|<@|->\s*'|\?\s*'", out):
+        out = rewrite_operators(out, literals, cosine)
+    return _MASKED.sub(lambda m: literals[int(m[1])], out)
 
 
 def run_sql(spark: SparkSession, text: str, args=None) -> DataFrame:
-    """Run engine SQL; ``args`` are positional (list, ``?``) or named (dict, ``:name``) parameters."""
+    """Run engine SQL; ``args`` are positional (list, ``?``) or named (dict, ``:name``) parameters.
+
+    ``<=>`` is the cosine distance where its operands are arrays, else
+    null-safe equality: of the readings of a text the first is taken that the
+    analyser accepts.
+    """
     if isinstance(args, list):
         text = re.sub(r"\$(\d+)", "?", text)
-    return spark.sql(rewrite(text), args=args) if args else spark.sql(rewrite(text))
+    readings = list(itertools.product((True, False), repeat=min(6, text.count("<=>")))) or [()]
+    for i, cosine in enumerate(readings):
+        try:
+            return spark.sql(rewrite(text, cosine), args=args) if args else spark.sql(rewrite(text, cosine))
+        except AnalysisException:
+            if i + 1 == len(readings):
+                raise
+    raise AssertionError
 
 
 #: Cascade tiers in order, and the plan nodes that need them.

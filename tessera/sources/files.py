@@ -92,6 +92,8 @@ class VersionedTable:
 
     def upsert(self, changes: DataFrame, at: int) -> None:
         """Close the current versions of changed keys at ``at`` and add the new ones."""
+        whole = F.struct(*[F.col(c) for c in changes.columns])
+        changes = changes.groupBy(F.col(self.key).alias("_key")).agg(F.max(whole).alias("_row")).select("_row.*")  # a key given twice has one current row
         old = self.rows()
         keys = changes.select(F.col(self.key).alias("_k")).distinct()
         joined = old.join(keys, F.col(self.key) == F.col("_k"), "left")

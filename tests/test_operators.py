@@ -184,3 +184,85 @@ def test_tables(spark):
     t.add("BEFORE", "INSERT", lambda d: d.where("v > 10"))
     assert t.write("INSERT", df, lambda d: seen.append(d.count())) and seen == [1]
     assert [len(r.rows) for r in tables.reverse_reference(spark.createDataFrame([(1,), (3,)], "id long"), "id", df, "k", "rows").orderBy("id").collect()] == [2, 0]
+
+
+def test_closeness_and_bfs_match_brute_force(spark):
+    import random
+
+    from tessera.operators import graph
+
+    r = random.Random(3)
+    pairs = sorted({(r.randrange(40), r.randrange(40)) for _ in range(70)})
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    names = sorted({x for p in pairs for x in p})
+
+    def depths(start):
+        out, front = {start: 0}, [start]
+        while front:
+            front = sorted({b for a in front for x, b in pairs if x == a} - set(out))
+            out.update((b, max(out.values()) + 1) for b in front)
+        return out
+
+    want = {n: (lambda d: round((len(names) - 1) / sum(d.values()), 9) if sum(d.values()) else 0.0)(depths(n)) for n in names}
+    assert {x.node: round(x.closeness, 9) for x in graph.closeness(edges).collect()} == want
+    assert {x.node: x.depth for x in graph.bfs(edges, names[0]).collect()} == depths(names[0])
+
+
+def test_promql_unknown_function_is_an_error(spark):
+    import datetime
+
+    import pytest
+
+    from tessera.plans.metrics import run_promql
+
+    at = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    s = spark.createDataFrame([("m", "a", at, 1.0), ("m", "a", at + datetime.timedelta(seconds=10), 5.0)], "metric string, k string, ts timestamp, value double")
+    us = int((at.timestamp() + 10) * 1e6)
+    for text in ("nonsense(m[1m])", "nonsense(m)", "rate(m)", "m[1m]"):
+        with pytest.raises(ValueError):
+            run_promql(text, s, us)
+    value = lambda t: run_promql(t, s, us).first().value
+    assert value("irate(m[1m])") == 0.4 and value("deriv(m[1m])") == pytest.approx(0.4) and value("idelta(m[1m])") == 4.0
+    assert value("predict_linear(m[1m], 10)") == pytest.approx(9.0) and value("quantile_over_time(0.5, m[1m])") == 3.0
+    assert value("clamp_max(abs(m), 2)") == 2.0 and value("topk(1, m)") == 5.0
+
+
+def test_database_statements(spark, tmp_path):
+    import pytest
+
+    from tessera.plans.dml import Database
+
+    db = Database(spark, f"file://{tmp_path}/db")
+    assert db.run("CREATE TABLE t (id INT, name STRING)") == 0
+    assert db.run("INSERT INTO t VALUES (1, 'a, WHERE'), (2, NULL), (NULL, 'c')") == 3
+    assert db.run("UPDATE t SET name = 'x' WHERE id > 1") == 1
+    assert db.run("DELETE FROM t WHERE id = 1") == 1
+    assert db.run("ALTER TABLE t ADD COLUMN n BIGINT") == 0
+    assert sorted(map(tuple, db.run("SELECT * FROM t").collect()), key=str) == [(2, "x", None), (None, "c", None)]
+    assert db.run("CREATE MATERIALIZED VIEW m AS SELECT count(*) AS k FROM t") == 1
+    db.run("DELETE FROM t")
+    assert db.run("SELECT k FROM m").first().k == 2 and db.run("SELECT count(*) AS k FROM t").first().k == 0
+    db.run("REFRESH MATERIALIZED VIEW m")
+    assert db.run("SELECT k FROM m").first().k == 0
+    with pytest.raises(ValueError):
+        db.run("CREATE TABLE t (id INT)")
+    db.run("DROP TABLE t")
+    assert not db.exists("t") and db.run("DROP TABLE IF EXISTS t") == 0
+
+
+def test_cql_limit_needs_keys():
+    import pytest
+
+    from tessera.plans.metrics import cql_to_sql
+
+    with pytest.raises(ValueError):
+        cql_to_sql("SELECT a FROM t PER PARTITION LIMIT 1")
+
+
+def test_upsert_of_a_key_given_twice(spark, tmp_path):
+    from tessera.sources.files import VersionedTable
+
+    t = VersionedTable(spark, f"file://{tmp_path}/v", "k")
+    t.create(spark.createDataFrame([(1, "a")], "k int, v string"), 10)
+    t.upsert(spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string"), 20)
+    assert [tuple(r) for r in t.current().collect()] == [(1, "c")]

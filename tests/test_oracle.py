@@ -8,8 +8,8 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 registry = importlib.import_module("tessera.plans.registry")
-#: Long graph loops are covered by their own tests.
-SLOW = {"graph_closeness", "graph_bfs", "graph_pagerank", "graph_components", "datalog_same_generation"}
+#: Long loops have tests of their own.
+SLOW = {"graph_components", "datalog_same_generation"}
 
 
 @pytest.fixture(scope="module")
