@@ -197,10 +197,11 @@ def test_closeness_and_bfs_match_brute_force(spark):
     names = sorted({x for p in pairs for x in p})
 
     def depths(start):
-        out, front = {start: 0}, [start]
+        out, front, depth = {start: 0}, [start], 0
         while front:
+            depth += 1
             front = sorted({b for a in front for x, b in pairs if x == a} - set(out))
-            out.update((b, max(out.values()) + 1) for b in front)
+            out.update((b, depth) for b in front)
         return out
 
     want = {n: (lambda d: round((len(names) - 1) / sum(d.values()), 9) if sum(d.values()) else 0.0)(depths(n)) for n in names}
