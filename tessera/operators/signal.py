@@ -7,6 +7,8 @@ neighbours are windows; spectra and recursive filters run per channel in numpy
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -128,3 +130,35 @@ def spectral_summary(spec: DataFrame, channel: str) -> DataFrame:
         F.sum(F.when(p > 0, -p * F.log2(p)).otherwise(0.0)).alias("entropy"),
         F.try_divide(F.exp(F.avg(F.log(F.greatest("power", F.lit(1e-30))))), F.avg("power")).alias("flatness"),
     )
+
+
+def taper(kind: str, i: Column, n: Column) -> Column:
+    """Weight of sample ``i`` (from 0) of ``n`` in a window; 1 for a single sample."""
+    x = 2 * math.pi * i / (n - 1)
+    terms = {"hann": (0.5, 0.5, 0.0), "hamming": (0.54, 0.46, 0.0), "blackman": (0.42, 0.5, 0.08)}
+    if kind == "rectangular":
+        return F.lit(1.0)
+    if kind == "bartlett":
+        return F.when(n == 1, 1.0).otherwise(1 - F.abs(2 * i / (n - 1) - 1))
+    a, b, c = terms[kind]
+    return F.when(n == 1, 1.0).otherwise(a - b * F.cos(x) + c * F.cos(2 * x))
+
+
+def tapered(df: DataFrame, channel: str, order: list[str], value: str, kind: str) -> DataFrame:
+    """``df`` with ``value`` of each channel multiplied by the window's weights; a channel is sorted, not gathered."""
+    w = Window.partitionBy(channel)
+    i = F.row_number().over(w.orderBy(*order)) - 1
+    placed = df.withColumns({"_i": i, "_n": F.count("*").over(w)})
+    return placed.withColumn(value, F.col(value) * taper(kind, F.col("_i"), F.col("_n"))).drop("_i", "_n")
+
+
+def cross_correlation(left: DataFrame, right: DataFrame, time: str, value: str, max_lag: int) -> DataFrame:
+    """(lag, r, n): Pearson's r of left(t) and right(t + lag) over common times, for whole lags up to ``max_lag``.
+
+    The right samples are copied to each lag before an equality join by time,
+    and the moments add up before the shuffle by lag.
+    """
+    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
+    moved = right.select(F.col(time).alias("_t"), F.col(value).alias("_y"), lags).withColumn("_t", F.col("_t") - F.col("lag"))
+    both = left.select(F.col(time).alias("_t"), F.col(value).alias("_x")).join(moved, "_t")
+    return both.groupBy("lag").agg(F.corr("_x", "_y").alias("r"), F.count("*").alias("n"))

@@ -1,4 +1,4 @@
-"""Cypher reads compiled to joins over node and edge tables.
+"""Cypher compiled to joins over node and edge tables; writes go to a ``GraphStore``.
 
 MATCH and OPTIONAL MATCH with labels, property maps, typed, directed and
 variable-length (``*a..b``, or open ``*a..``) relationships, WHERE, WITH, UNWIND, RETURN with
@@ -220,3 +220,105 @@ class Cypher:
 
 def run_cypher(spark: SparkSession, text: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return Cypher(spark, nodes, edges).run(text)
+
+
+class GraphStore:
+    """Nodes and relationships of a property graph kept as two tables, for reads and writes.
+
+    ``CREATE``, ``MERGE`` of one node, ``MATCH ... SET``, ``REMOVE`` and
+    ``[DETACH] DELETE`` make new snapshots; reads are ``run_cypher``. New
+    properties are new columns, null where a node lacks them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        from tessera.plans.dml import Database
+
+        self.spark, self.db = spark, Database(spark, folder)
+
+    def load(self, nodes: DataFrame, edges: DataFrame) -> None:
+        """Start from nodes (id, label, properties) and edges (src, dst, type, properties), numbered by ``id``."""
+        if "id" not in edges.columns:
+            edges = edges.withColumn("id", F.row_number().over(Window.orderBy("src", "dst", "type")).cast("long"))
+        for name, df in (("nodes", nodes), ("edges", edges)):
+            self.db._commit(name, df, self.db._last(name))
+
+    def _add(self, name: str, rows: list[dict]) -> None:
+        """Append rows, whose values are SQL literals."""
+        old, at = self.db.table(name), self.db._last(name)
+        parts = [self.spark.range(1).select(*[F.expr(v).alias(k) for k, v in r.items()]) for r in rows]
+        new = parts[0]
+        for p in parts[1:]:
+            new = new.unionByName(p, allowMissingColumns=True)
+        known = {c: old.schema[c].dataType for c in old.columns}
+        new = new.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c) for c in new.columns])
+        self.db._commit(name, old.unionByName(new, allowMissingColumns=True), at)
+
+    def _next(self, name: str) -> int:
+        return (self.db.table(name).agg(F.max("id")).first()[0] or 0) + 1
+
+    @staticmethod
+    def _node(m: re.Match) -> dict:
+        props = (item.split(":", 1) for item in (split_top(m[3][1:-1]) if m[3] else []))
+        return {"label": f"'{m[2]}'" if m[2] else "NULL", **{k.strip(): v.strip() for k, v in props}}
+
+    def _create(self, body: str) -> int:
+        first, nodes, edges, ids = self._next("nodes"), [], [], {}
+        for pattern in split_top(body):
+            text, pos, before, edge = pattern.strip(), 0, None, None
+            while m := _NODE.match(text, pos):
+                here = ids.get(m[1]) if m[1] else None
+                if here is None:
+                    here = first + len(nodes)
+                    nodes.append({"id": str(here), **self._node(m)})
+                    ids |= {m[1]: here} if m[1] else {}
+                if edge is not None:
+                    a, b = (here, before) if edge[1] else (before, here)
+                    edges.append({"src": str(a), "dst": str(b), "type": f"'{edge[3]}'"})
+                before, pos = here, m.end()
+                edge = _EDGE.match(text, pos)
+                if edge is None:
+                    break
+                pos = edge.end()
+        self._add("nodes", nodes)
+        if edges:
+            at = self._next("edges")
+            self._add("edges", [{"id": str(at + i), **e} for i, e in enumerate(edges)])
+        return len(nodes) + len(edges)
+
+    def run(self, text: str):
+        """The rows of a read, or the number of nodes and relationships that a statement wrote."""
+        text = text.strip().rstrip(";")
+        if m := re.match(r"CREATE\s+(.*)$", text, re.I | re.S):
+            return self._create(m[1])
+        nodes = self.db.table("nodes")
+        if m := re.match(r"MERGE\s+(.*)$", text, re.I | re.S):
+            want = self._node(_NODE.match(m[1].strip()))
+            missing = [k for k in want if k not in nodes.columns]
+            found = [] if missing else nodes.where(" AND ".join(f"`{k}` <=> {v}" for k, v in want.items())).take(1)
+            return 0 if found else self._create(m[1])
+        m = re.match(r"(MATCH\b.*?)\b(SET|REMOVE|DETACH\s+DELETE|DELETE)\b(?=(?:[^']*'[^']*')*[^']*$)(.*)$", text, re.I | re.S)
+        if not m:
+            return run_cypher(self.spark, text, nodes, self.db.table("edges"))
+        word, at = m[2].upper(), self.db._last("nodes")
+        items = split_top(m[3])
+        var = items[0].split(".")[0].split("=")[0].strip()
+        hit = cut(run_cypher(self.spark, f"{m[1]} RETURN DISTINCT id({var}) AS hit", nodes, self.db.table("edges")))
+        joined = nodes.join(hit, nodes["id"] == hit["hit"], "left")
+        if word.endswith("DELETE"):
+            edges, edges_at = self.db.table("edges"), self.db._last("edges")
+            tied = edges.join(hit, (F.col("src") == F.col("hit")) | (F.col("dst") == F.col("hit")), "left_semi")
+            if word == "DELETE" and not tied.isEmpty():
+                raise ValueError("a node to delete has relationships")
+            for end in ("src", "dst"):
+                edges = edges.join(hit, F.col(end) == F.col("hit"), "left_anti")
+            self.db._commit("edges", edges, edges_at)
+            joined = joined.where("hit IS NULL")
+        else:
+            for item in items:
+                name, _, value = item.partition("=")
+                prop = name.split(".")[1].strip()
+                value = F.expr(re.sub(rf"\b{var}\.(\w+)", r"`\1`", value)) if word == "SET" else F.lit(None)
+                old = F.col(prop) if prop in joined.columns else F.lit(None)
+                joined = joined.withColumn(prop, F.when(F.col("hit").isNotNull(), value).otherwise(old))
+        self.db._commit("nodes", joined.drop("hit"), at)
+        return hit.count()

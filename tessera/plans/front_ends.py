@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.operators import signal, spatial
+from tessera.operators import timeseries as ts
 from tessera.operators.graph import shared_dir
-from tessera.plans.cypher import run_cypher
+from tessera.plans.cypher import GraphStore, run_cypher
 from tessera.plans.datalog import run_datalog
 from tessera.plans.dml import Database
 from tessera.plans.metrics import run_cql, run_promql
@@ -67,6 +69,20 @@ def cypher_parallel(spark, sf_dir):
     return run_cypher(spark, "MATCH (a:Nation)-[:NEXT]->(b:Nation) RETURN b.name AS name, count(*) AS paths", nodes, edges.union(edges))
 
 
+@query("cypher_writes", """
+SELECT n_name AS name, CAST(CASE WHEN n_regionkey = 2 THEN 7 END AS BIGINT) AS mark FROM nation WHERE n_regionkey <> 4 UNION ALL SELECT 'Atlantis', NULL""")
+def cypher_writes(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    nodes = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.lit("Nation").alias("label"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    store = GraphStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    store.load(nodes, _chain(spark, sf_dir)[1])
+    store.run("CREATE (a:Nation {name: 'Atlantis', region: 9})-[:NEXT]->(b:Nation {name: 'Mu', region: 4})")
+    store.run("MERGE (a:Nation {name: 'Atlantis'})")
+    store.run("MATCH (a:Nation) WHERE a.region = 2 SET a.mark = 7")
+    store.run("MATCH (a:Nation) WHERE a.region = 4 DETACH DELETE a")
+    return store.run("MATCH (a:Nation) RETURN a.name AS name, a.mark AS mark")
+
+
 @query("datalog_negation_unbound", "SELECT r_name AS N FROM region")
 def datalog_negation(spark, sf_dir):
     tables = {"region": table(spark, sf_dir, "region").select("r_regionkey", "r_name"), "none": table(spark, sf_dir, "region").where("r_regionkey < 0").select("r_regionkey")}
@@ -125,3 +141,59 @@ WITH s AS ({_IN}), p AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDE
 SELECT quantile_cont(v, 0.5)::DOUBLE AS value FROM c""")
 def prom_changes_quantile(spark, sf_dir):
     return run_promql("quantile(0.5, resets(activity[3d]))", _samples(spark, sf_dir), _AT)
+
+
+# ------------------------------------------------------- space, signals, JSON functions
+_POINTS = "SELECT c_custkey AS id, c_acctbal / 100 AS x, c_nationkey * 1.0 AS y, CAST(c_custkey AS DOUBLE) / 10 AS z FROM customer"
+_SHOPS = "SELECT s_suppkey AS id, s_acctbal / 100 AS x, s_nationkey * 1.0 AS y, CAST(s_suppkey AS DOUBLE) / 10 AS z FROM supplier"
+
+
+def _points(spark, sf_dir, name, p):
+    t = table(spark, sf_dir, name)
+    return t.select(F.col(f"{p}key").alias("id"), (F.col(f"{p[0]}_acctbal") / 100).alias("x"), (F.col(f"{p[0]}_nationkey") * 1.0).alias("y"), (F.col(f"{p}key").cast("double") / 10).alias("z"))
+
+
+_D3 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query("spatial_box", f"SELECT id FROM ({_POINTS}) WHERE x BETWEEN 10 AND 50 AND y BETWEEN 3 AND 9")
+def spatial_box(spark, sf_dir):
+    return spatial.in_box(_points(spark, sf_dir, "customer", "c_cust"), ["x", "y"], [10, 3], [50, 9]).select("id")
+
+
+@query("spatial_radius", f"SELECT a.id AS l_id, b.id AS r_id, round({_D3}, 6) AS distance FROM ({_POINTS}) a JOIN ({_SHOPS}) b ON {_D3} <= 7.5")
+def spatial_radius(spark, sf_dir):
+    out = spatial.radius_join(_points(spark, sf_dir, "customer", "c_cust"), _points(spark, sf_dir, "supplier", "s_supp"), ["x", "y", "z"], 7.5)
+    return out.select("l_id", "r_id", F.round("distance", 6).alias("distance"))
+
+
+@query("spatial_knn", f"""
+SELECT l_id, r_id, rank FROM (SELECT b.id AS l_id, a.id AS r_id, row_number() OVER (PARTITION BY b.id ORDER BY {_D3}, a.id) AS rank FROM ({_SHOPS}) b, ({_POINTS}) a) WHERE rank <= 3""")
+def spatial_knn(spark, sf_dir):
+    out = spatial.knn_join(_points(spark, sf_dir, "supplier", "s_supp"), _points(spark, sf_dir, "customer", "c_cust"), ["x", "y", "z"], 3, 5.0)
+    return out.select("l_id", "r_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("sig_taper_hann", """
+SELECT event_id, round(value * CASE WHEN n = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * i / (n - 1)) END, 6) AS value
+FROM (SELECT event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)""")
+def sig_taper(spark, sf_dir):
+    out = signal.tapered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", "hann")
+    return out.select("event_id", F.round("value", 6).alias("value"))
+
+
+_HOURS = "SELECT epoch_us(ts) // 3600000000 AS h, avg(value) AS v FROM events WHERE event_type = '{}' GROUP BY 1"
+
+
+@query("sig_correlate", f"""
+WITH a AS ({_HOURS.format('click')}), b AS ({_HOURS.format('view')}), l AS (SELECT unnest(range(-3, 4)) AS lag)
+SELECT CAST(lag AS INTEGER) AS lag, round(corr(a.v, b.v), 6) AS r, count(*) AS n FROM l, a JOIN b ON b.h = a.h + lag GROUP BY lag""")
+def sig_correlate(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("h", F.floor(ts.micros("ts") / 3600000000))
+    one, two = (e.where(F.col("event_type") == k).groupBy("h").agg(F.avg("value").alias("v")) for k in ("click", "view"))
+    out = signal.cross_correlation(one, two, "h", "v", 3)
+    return out.select(F.col("lag").cast("int").alias("lag"), F.round("r", 6).alias("r"), "n")
+
+
+sql("json_functions", "SELECT event_id, jsonb_typeof(props) AS kind, jsonb_extract_path_text(jsonb_build_object('a', event_type, 'b', user_id), 'b') AS b, jsonb_array_length(jsonb_build_array(user_id, user_id + 1)) AS n FROM events",
+    "SELECT event_id, 'object' AS kind, CAST(user_id AS VARCHAR) AS b, CAST(2 AS INTEGER) AS n FROM events")

@@ -2,7 +2,8 @@
 
 Rewritten are ``QUALIFY``, comparisons with ``ANY``/``ALL`` subqueries,
 ``GROUPS`` window frames, system-time travel, the vector operators
-``<-> <#> <=>`` and the JSON operators ``-> ->> #> #>> @> <@ ?``. Everything else
+``<-> <#> <=>`` and the JSON operators ``-> ->> #> #>> @> <@ ?`` and the
+``jsonb_*`` functions. Everything else
 goes to Spark unchanged.
 """
 
@@ -141,6 +142,49 @@ def vector_sql(kind: str, a: str, b: str) -> str:
     return f"(CASE WHEN size({a}) = size({b}) THEN {body} END)"
 
 
+def rewrite_json_functions(text: str) -> str:
+    """``jsonb_*`` calls as Spark's functions of JSON texts."""
+
+    def kind(a: str) -> str:
+        first = f"substr(ltrim({a}), 1, 1)"
+        return f"(CASE WHEN {a} IS NULL THEN NULL WHEN {first} = '{{' THEN 'object' WHEN {first} = '[' THEN 'array' WHEN {first} = '\"' THEN 'string' WHEN {first} IN ('t', 'f') THEN 'boolean' WHEN {first} = 'n' THEN 'null' ELSE 'number' END)"
+
+    def path(parts: list[str]) -> str:
+        return "concat('$', " + ", ".join(f"(CASE WHEN {p} RLIKE '^[0-9]+$' THEN concat('[', {p}, ']') ELSE concat('.', {p}) END)" for p in parts) + ")"
+
+    make = {
+        "array_length": lambda a: f"json_array_length({a[0]})",
+        "object_keys": lambda a: f"explode(json_object_keys({a[0]}))",
+        "array_elements": lambda a: f"explode(from_json({a[0]}, 'ARRAY<STRING>'))",
+        "typeof": lambda a: kind(a[0]),
+        "extract_path": lambda a: f"get_json_object({a[0]}, {path(a[1:])})",
+        "extract_path_text": lambda a: f"get_json_object({a[0]}, {path(a[1:])})",
+        "build_object": lambda a: f"to_json(named_struct({', '.join(a)}))",
+        "build_array": lambda a: f"to_json(array({', '.join(a)}))",
+    }
+    pattern, at = re.compile(r"\bjsonb?_(" + "|".join(sorted(make, key=len, reverse=True)) + r")\s*\(", re.I), 0
+    while m := pattern.search(text, at):
+        if m[0].lower().startswith("json_") and m[1].lower() in ("array_length", "object_keys"):
+            at = m.end()  # Spark's own
+            continue
+        end = close_of(text, m.end() - 1)
+        new = make[m[1].lower()](_top(text[m.end() : end]))
+        text, at = text[: m.start()] + new + text[end + 1 :], m.start()
+    return text
+
+
+def _top(text: str) -> list[str]:
+    """Parts of a text between commas outside brackets and strings."""
+    out, depth, quote, at = [], 0, False, 0
+    for i, c in enumerate(text):
+        quote ^= c == "'"
+        depth += 0 if quote else (c == "(") - (c == ")")
+        if c == "," and not depth and not quote:
+            out.append(text[at:i].strip())
+            at = i + 1
+    return [*out, text[at:].strip()]
+
+
 _MASKED = re.compile("\x01(\\d+)\x01")
 
 
@@ -223,6 +267,8 @@ def rewrite(text: str, cosine: tuple[bool, ...] | None = None) -> str:
         out = rewrite_groups_frame(out)
     if re.search(r"\bQUALIFY\b", out, re.I):
         out = rewrite_qualify(out)
+    if re.search(r"\bjsonb?_", out, re.I):
+        out = rewrite_json_functions(out)
     if re.search(r"<->|<#>|<=>|#>|->>|@>|<@|->\s*'|\?\s*'", out):
         out = rewrite_operators(out, literals, cosine)
     return _MASKED.sub(lambda m: literals[int(m[1])], out)
