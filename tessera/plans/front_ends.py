@@ -197,3 +197,14 @@ def sig_correlate(spark, sf_dir):
 
 sql("json_functions", "SELECT event_id, jsonb_typeof(props) AS kind, jsonb_extract_path_text(jsonb_build_object('a', event_type, 'b', user_id), 'b') AS b, jsonb_array_length(jsonb_build_array(user_id, user_id + 1)) AS n FROM events",
     "SELECT event_id, 'object' AS kind, CAST(user_id AS VARCHAR) AS b, CAST(2 AS INTEGER) AS n FROM events")
+
+
+sql("similar_to_pattern", "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)[1-3]' OR p_name SIMILAR TO '%(red|blue)_%'",
+    "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#(1|2)[1-3]') OR regexp_full_match(p_name, '.*(red|blue)..*')")
+sql("where_without_from", "SELECT 1 AS one WHERE 2 > 1")
+sql("stats_shape", """
+SELECT event_type, mode(user_id, true) AS common, round(sqrt(count(*) * (count(*) - 1)) / (count(*) - 2) * skewness(value), 6) AS skew,
+  round((count(*) - 1) / ((count(*) - 2) * (count(*) - 3)) * ((count(*) + 1) * kurtosis(value) + 6), 6) AS kurt FROM events GROUP BY event_type""",
+    """
+WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT event_type, user_id AS common FROM c QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) = 1)
+SELECT event_type, common, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurt FROM events JOIN m USING (event_type) GROUP BY event_type, common""")

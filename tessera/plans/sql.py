@@ -1,7 +1,7 @@
 """Engine SQL: rewrites over Spark SQL for forms that Spark does not parse.
 
 Rewritten are ``QUALIFY``, comparisons with ``ANY``/``ALL`` subqueries,
-``GROUPS`` window frames, system-time travel, the vector operators
+``GROUPS`` window frames, ``SIMILAR TO``, system-time travel, the vector operators
 ``<-> <#> <=>`` and the JSON operators ``-> ->> #> #>> @> <@ ?`` and the
 ``jsonb_*`` functions. Everything else
 goes to Spark unchanged.
@@ -142,6 +142,21 @@ def vector_sql(kind: str, a: str, b: str) -> str:
     return f"(CASE WHEN size({a}) = size({b}) THEN {body} END)"
 
 
+def similar_pattern(text: str) -> str:
+    """A SIMILAR TO pattern as an anchored regular expression: ``%`` and ``_`` outside brackets are wildcards, ``\\`` escapes."""
+    out, i, bracket = "", 0, False
+    while i < len(text):
+        c = text[i]
+        if c == "\\" and i + 1 < len(text):
+            out, i = out + re.escape(text[i + 1]), i + 2
+            continue
+        bracket = c == "[" or bracket and c != "]"
+        plain = bracket or c == "]"
+        out += c if plain else {"%": "(?s:.*)", "_": "(?s:.)"}.get(c, c if c in "()|*+?{},-" else re.escape(c))
+        i += 1
+    return f"^(?:{out})$".replace("''", "\\x27")
+
+
 def rewrite_json_functions(text: str) -> str:
     """``jsonb_*`` calls as Spark's functions of JSON texts."""
 
@@ -267,6 +282,7 @@ def rewrite(text: str, cosine: tuple[bool, ...] | None = None) -> str:
         out = rewrite_groups_frame(out)
     if re.search(r"\bQUALIFY\b", out, re.I):
         out = rewrite_qualify(out)
+    out = re.sub(r"\bSIMILAR\s+TO\s+'\x01(\d+)\x01'", lambda m: f"RLIKE r'{similar_pattern(literals[int(m[1])])}'", out, flags=re.I)
     if re.search(r"\bjsonb?_", out, re.I):
         out = rewrite_json_functions(out)
     if re.search(r"<->|<#>|<=>|#>|->>|@>|<@|->\s*'|\?\s*'", out):

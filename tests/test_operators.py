@@ -267,3 +267,12 @@ def test_upsert_of_a_key_given_twice(spark, tmp_path):
     t.create(spark.createDataFrame([(1, "a")], "k int, v string"), 10)
     t.upsert(spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string"), 20)
     assert [tuple(r) for r in t.current().collect()] == [(1, "c")]
+
+
+def test_similar_pattern():
+    import re
+
+    from tessera.plans.sql import similar_pattern
+
+    for pattern, text, fits in [("a%", "abc", True), ("a_", "abc", False), ("(a|b)+", "abba", True), ("a.c", "abc", False), ("[%_]x", "%x", True), ("50\\%", "50%", True), ("50\\%", "500", False), ("x$", "x$", True)]:
+        assert bool(re.search(similar_pattern(pattern), text)) == fits, (pattern, text)
