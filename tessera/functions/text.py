@@ -87,3 +87,17 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
     x, y = grams(a), grams(b)
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
+def json_pointer(text: Column, pointer: str) -> Column:
+    """The value at a JSON pointer (RFC 6901): ``~1`` is a slash and ``~0`` a tilde; a number is an array's index, else a key; null where nothing is there."""
+    if pointer == "":
+        return text
+    if pointer[0] != "/":
+        raise ValueError("a JSON pointer starts with /")
+    paths = ["$"]
+    for part in pointer[1:].split("/"):
+        key = part.replace("~1", "/").replace("~0", "~")
+        forms = ([f"[{key}]"] if key == "0" or key.isdigit() and key[0] != "0" else []) + [f"['{key}']"]
+        paths = [p + f for p in paths for f in forms]
+    return F.coalesce(*[F.get_json_object(text, p) for p in paths])

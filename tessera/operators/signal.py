@@ -162,3 +162,29 @@ def cross_correlation(left: DataFrame, right: DataFrame, time: str, value: str,
     moved = right.select(F.col(time).alias("_t"), F.col(value).alias("_y"), lags).withColumn("_t", F.col("_t") - F.col("lag"))
     both = left.select(F.col(time).alias("_t"), F.col(value).alias("_x")).join(moved, "_t")
     return both.groupBy("lag").agg(F.corr("_x", "_y").alias("r"), F.count("*").alias("n"))
+
+
+def repair_artefacts(df: DataFrame, channel: str, order: list[str], value: str, limit: float = 3.0) -> DataFrame:
+    """``clean``: samples further than ``limit`` sample deviations from their channel's mean are drawn between their neighbours by position.
+
+    Runs at the ends are null, as they have one neighbour only; ``artefact`` tells which samples were rejected.
+    """
+    sums = df.groupBy(F.col(channel).alias("_ch")).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    joined = df.join(sums, F.col(channel).eqNullSafe(F.col("_ch")), "left").drop("_ch")
+    w = Window.partitionBy(channel).orderBy(*order)
+    bad = F.coalesce(F.abs(F.col(value) - F.col("_m")) > limit * F.col("_s"), F.lit(False))
+    rows = joined.withColumns({"artefact": bad, "_i": F.row_number().over(w)}).drop("_m", "_s")
+    good, place = F.when(~F.col("artefact"), F.col(value)), F.when(~F.col("artefact"), F.col("_i"))
+    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(channel).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a frame to the end would be read again for each row
+    rows = rows.withColumns({"_v0": F.last(good, True).over(back), "_i0": F.last(place, True).over(back), "_v1": F.last(good, True).over(ahead), "_i1": F.last(place, True).over(ahead)})
+    drawn = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_i") - F.col("_i0")) / (F.col("_i1") - F.col("_i0"))
+    return rows.withColumn("clean", F.when(F.col("artefact"), drawn).otherwise(F.col(value))).drop("_i", "_v0", "_i0", "_v1", "_i1")
+
+
+def frequency_bins(spec: DataFrame, channel: str, low: float, high: float, count: int, logarithmic: bool = False) -> DataFrame:
+    """(channel, window, power): a spectrum's power in ``count`` windows of [low, high), of equal width or equal ratio."""
+    f = F.col("frequency")
+    part = F.log(f / low) / math.log(high / low) if logarithmic else (f - low) / (high - low)
+    window = F.least(F.floor(part * count), F.lit(count - 1)).cast("int")
+    return spec.where((f >= low) & (f < high)).groupBy(channel, window.alias("window")).agg(F.sum("power").alias("power"))

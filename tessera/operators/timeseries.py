@@ -146,3 +146,55 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_us: int, keys: list[str]
     both = binned(left, "l_").join(binned(right, "r_"), [*keys, "_bin"])
     start = F.greatest("l_start", "r_start")
     return both.where((start < F.least("l_end", "r_end")) & (F.floor(start / bin_us) == F.col("_bin"))).drop("_bin")
+
+
+def bucket_counts(df: DataFrame, key: str, start: str, end: str, first_us: int, last_us: int, step_us: int) -> DataFrame:
+    """(bucket, count, keys): rows whose [start, end) in microseconds overlaps each bucket of [first, last), and their distinct keys; empty buckets too.
+
+    Null or empty intervals count nowhere.
+    """
+    buckets = df.sparkSession.range(first_us, last_us, step_us).withColumnRenamed("id", "bucket")
+    a, b = F.col(start), F.col(end)
+    low = F.greatest(F.floor((a - first_us) / step_us), F.lit(0)).cast("long")
+    high = F.least(F.floor((b - 1 - first_us) / step_us), F.lit((last_us - 1 - first_us) // step_us)).cast("long")
+    live = df.where((a < b) & (a < last_us) & (b > first_us)).select(F.col(key).alias("_k"), F.explode(F.sequence(low, high)).alias("_n"))
+    counts = live.groupBy((F.col("_n") * step_us + first_us).alias("bucket"), "_k").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.groupBy("bucket").agg(F.sum("_c").alias("count"), F.count("_k").alias("keys"))
+    return buckets.join(counts, "bucket", "left").na.fill(0, ["count", "keys"])
+
+
+class PointStore:
+    """Points (``ts`` and further columns) in folders by hour, so that ranges prune and retention deletes whole folders."""
+
+    HOUR = 3_600_000_000
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def write(self, df: DataFrame) -> None:
+        """Append points; hours that hold many are split over tasks."""
+        hour = F.floor(micros("ts") / self.HOUR).cast("long")
+        df.withColumn("hour", hour).hint("rebalance", F.col("hour")).write.mode("append").partitionBy("hour").parquet(self.folder)
+
+    def range(self, start_us: int, end_us: int) -> DataFrame:
+        """Points from start to end, both included."""
+        rows = self.spark.read.parquet(self.folder).where(F.col("hour").between(start_us // self.HOUR, end_us // self.HOUR))
+        return in_range(rows, "ts", start_us, end_us).drop("hour")
+
+    def retain(self, now_us: int, keep_us: int) -> int:
+        """Delete the hours that end at or before ``now - keep``; their number."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs, gone = at.getFileSystem(self.spark._jsc.hadoopConfiguration()), 0
+        for f in fs.listStatus(at):
+            name = f.getPath().getName()
+            if name.startswith("hour=") and name[5:].lstrip("-").isdigit() and (int(name[5:]) + 1) * self.HOUR <= now_us - keep_us:
+                gone += bool(fs.delete(f.getPath(), True))
+        return gone
+
+    def downsample(self, target: "PointStore", keys: list[str], value: str, step_us: int, kind: str, now_us: int, keep_us: int, target_keep_us: int) -> None:
+        """A policy: hours that leave this store go to ``target`` as one value per key and bucket; both stores are then cut."""
+        old = self.spark.read.parquet(self.folder).where((F.col("hour") + 1) * self.HOUR <= now_us - keep_us)
+        small = bucketed(old, keys, "ts", value, step_us, [kind])
+        target.write(small.select(F.timestamp_micros("bucket").alias("ts"), *keys, F.col(kind).alias(value)))
+        self.retain(now_us, keep_us)
+        target.retain(now_us, target_keep_us)

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tessera.plans import analytics, front_ends, languages, relational  # noqa: F401
+from tessera.plans import analytics, extensions, front_ends, languages, relational  # noqa: F401

@@ -1,10 +1,11 @@
 """Engine SQL: rewrites over Spark SQL for forms that Spark does not parse.
 
 Rewritten are ``QUALIFY``, comparisons with ``ANY``/``ALL`` subqueries,
-``GROUPS`` window frames, ``SIMILAR TO``, system-time travel, the vector operators
-``<-> <#> <=>`` and the JSON operators ``-> ->> #> #>> @> <@ ?`` and the
-``jsonb_*`` functions. Everything else
-goes to Spark unchanged.
+``GROUPS`` window frames, ``SIMILAR TO``, ``LIKE MEANING``, system-time travel, the
+vector operators ``<-> <#> <=>`` and the JSON operators ``-> ->> #> #>> @> <@ ?`` and the
+``jsonb_*`` functions. ``EXPLAIN`` gives a row of cost, size and tier, a
+recursive CTE with ``UNION`` runs until nothing new appears, and the tables
+of ``pg_catalog`` are views of Spark's catalogue. Everything else goes to Spark unchanged.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import uuid
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OPERAND = r"(?:[A-Za-z_][\w.]*(?:\([^()]*\))?|'(?:[^']|'')*'|\([^()]*\)|\$?\d+(?:\.\d+)?)"
 
@@ -157,6 +161,20 @@ def similar_pattern(text: str) -> str:
     return f"^(?:{out})$".replace("''", "\\x27")
 
 
+#: Least cosine of two texts' word sets at which ``LIKE MEANING`` holds.
+MEANING = 0.5
+
+
+def meaning_sql(value: str, text: str) -> str:
+    """The words that two texts share, by the root of the product of their numbers of distinct words, reach ``MEANING``; NULL for NULL."""
+
+    def words(v: str) -> str:
+        return f"array_distinct(filter(split(lower({v}), '[^\\\\p{{L}}\\\\p{{N}}]+'), _w -> _w <> ''))"
+
+    a, b = words(value), words(text)
+    return f"(size(array_intersect({a}, {b})) >= {MEANING}D * sqrt(size({a}) * size({b})) AND size(array_intersect({a}, {b})) > 0)"
+
+
 def rewrite_json_functions(text: str) -> str:
     """``jsonb_*`` calls as Spark's functions of JSON texts."""
 
@@ -283,6 +301,7 @@ def rewrite(text: str, cosine: tuple[bool, ...] | None = None) -> str:
     if re.search(r"\bQUALIFY\b", out, re.I):
         out = rewrite_qualify(out)
     out = re.sub(r"\bSIMILAR\s+TO\s+'\x01(\d+)\x01'", lambda m: f"RLIKE r'{similar_pattern(literals[int(m[1])])}'", out, flags=re.I)
+    out = re.sub(rf"({_OPERAND})\s+(NOT\s+)?LIKE\s+MEANING\s+('\x01\d+\x01')", lambda m: ("NOT " if m[2] else "") + meaning_sql(m[1], m[3]), out, flags=re.I)
     if re.search(r"\bjsonb?_", out, re.I):
         out = rewrite_json_functions(out)
     if re.search(r"<->|<#>|<=>|#>|->>|@>|<@|->\s*'|\?\s*'", out):
@@ -290,6 +309,80 @@ def rewrite(text: str, cosine: tuple[bool, ...] | None = None) -> str:
     return _MASKED.sub(lambda m: literals[int(m[1])], out)
 
 
+def pg_catalog(spark: SparkSession) -> dict[str, DataFrame]:
+    """The virtual tables of ``pg_catalog``, made from the current database's tables and views, Spark's types and settings."""
+    names = sorted(t.name for t in spark.catalog.listTables())
+    fields = [(i + 1, k + 1, f.name, f.dataType.simpleString()) for i, n in enumerate(names) for k, f in enumerate(spark.table(n).schema.fields)]
+    types = sorted({f[3] for f in fields} | {"bigint", "boolean", "date", "double", "int", "string", "timestamp"})
+    number = {t: i + 1 for i, t in enumerate(types)}
+    spaces = sorted(d.name for d in spark.catalog.listDatabases())
+    own = spaces.index(spark.catalog.currentDatabase()) + 1
+    make = spark.createDataFrame
+    settings = [(r.key, r.value) for r in spark.sql("SET").collect()]
+    return {
+        "pg_type": make([(i, t) for t, i in number.items()], "oid int, typname string"),
+        "pg_namespace": make([(i + 1, n) for i, n in enumerate(spaces)], "oid int, nspname string"),
+        "pg_class": make([(i + 1, n, own, "r") for i, n in enumerate(names)], "oid int, relname string, relnamespace int, relkind string"),
+        "pg_attribute": make([(t, n, number[k], i) for t, i, n, k in fields], "attrelid int, attname string, atttypid int, attnum int"),
+        "pg_database": make([(1, spark.catalog.currentCatalog())], "oid int, datname string"),
+        "pg_settings": make(settings, "name string, setting string"),
+    }
+
+
+def _ctes(text: str) -> tuple[list[tuple[str, str, str]], str]:
+    """(name, columns, body) of each table of a WITH clause, and the query that follows."""
+    at, out = re.match(r"\s*WITH\s+RECURSIVE\s+", text, re.I).end(), []
+    while m := re.compile(r"\s*(\w+)\s*(?:\(([^()]*)\))?\s*AS\s*\(", re.I).match(text, at):
+        end = close_of(text, m.end() - 1)
+        out.append((m[1], m[2] or "", text[m.end() : end]))
+        at = end + 1
+        if not (comma := re.compile(r"\s*,").match(text, at)):
+            break
+        at = comma.end()
+    return out, text[at:]
+
+
+def _union_at(body: str) -> re.Match | None:
+    """The last UNION without ALL outside brackets and strings."""
+    depth, found = 0, None
+    for x in re.finditer(r"'(?:[^']|'')*'|[()]|\bUNION\b(?!\s+ALL)", body, re.I):
+        depth += {"(": 1, ")": -1}.get(x[0], 0)
+        if depth == 0 and x[0].upper() == "UNION":
+            found = x
+    return found
+
+
+def run_recursive(spark: SparkSession, text: str) -> DataFrame | None:
+    """``WITH RECURSIVE r(cols) AS (base UNION step) query``: each round joins what the last one found, so cycles end; None where no table is of that form.
+
+    What is found has the types of the base. Other tables of the clause stay as they are.
+    """
+    from tessera.operators.graph import cut
+
+    tables, query = _ctes(text)
+    before, ran = [], False
+    for name, columns, body in tables:
+        at = _union_at(body)
+        if at is None or not re.search(rf"\b{name}\b", body[at.end() :]):
+            before.append(f"{name}{f' ({columns})' if columns else ''} AS ({body})")
+            continue
+        ran = True
+        head = f"WITH RECURSIVE {', '.join(before)}" if before else ""
+        found = cut(run_sql(spark, f"{head} SELECT * FROM ({body[: at.start()]})").distinct())
+        if columns:
+            found = found.toDF(*[c.strip() for c in columns.split(",")])
+        view, new = f"_rec_{uuid.uuid4().hex}", found
+        step = f"WITH RECURSIVE {', '.join([*before, f'{name} AS (SELECT * FROM {view})'])} SELECT * FROM ({body[at.end() :]})"
+        while not new.isEmpty():
+            new.createOrReplaceTempView(view)
+            made = run_sql(spark, step).toDF(*found.columns).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in found.schema.fields])
+            new = cut(made.subtract(found))
+            found = cut(found.unionAll(new))
+        found.createOrReplaceTempView(view)
+        before.append(f"{name} AS (SELECT * FROM {view})")
+    return run_sql(spark, f"WITH RECURSIVE {', '.join(before)} {query}") if ran else None
+
+
 def run_sql(spark: SparkSession, text: str, args=None) -> DataFrame:
     """Run engine SQL; ``args`` are positional (list, ``?``) or named (dict, ``:name``) parameters.
 
@@ -297,6 +390,15 @@ def run_sql(spark: SparkSession, text: str, args=None) -> DataFrame:
     null-safe equality: of the readings of a text the first is taken that the
     analyser accepts.
     """
+    if m := re.match(r"\s*EXPLAIN\s+(?=SELECT|WITH)", text, re.I):
+        plan = explain_tier(run_sql(spark, text[m.end() :], args))
+        return spark.createDataFrame([tuple(Decimal(v) if isinstance(v, int) else v for v in plan.values())], "operation string, estimated_cost decimal(38,0), estimated_rows decimal(38,0), cascade_tier string")
+    if re.search(r"\bpg_catalog\.", text, re.I):
+        for name, df in pg_catalog(spark).items():
+            df.createOrReplaceTempView(f"_{name}")
+        text = re.sub(r"\bpg_catalog\.(?=pg_\w)", "_", text, flags=re.I)
+    if re.match(r"\s*WITH\s+RECURSIVE\b", text, re.I) and not args and (out := run_recursive(spark, text)) is not None:
+        return out
     if isinstance(args, list):
         text = re.sub(r"\$(\d+)", "?", text)
     readings = list(itertools.product((True, False), repeat=min(6, text.count("<=>")))) or [()]
