@@ -159,6 +159,8 @@ class Cypher:
                 keys += [F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)]
                 order += names
                 continue
+            # a counted node or relationship is counted by its id
+            e = re.sub(r"\bcount\(\s*(DISTINCT\s+)?(\w+)\s*\)", lambda m: f"count({m[1] or ''}{m[2]}.id)" if f"{m[2]}.id" in self.rows.columns and m[2] not in self.rows.columns else m[0], e, flags=re.I)
             (aggs if _AGG.search(e) else keys).append(F.expr(expression(e)).alias(alias))
             order.append(alias)
         if aggs:
@@ -219,7 +221,12 @@ class Cypher:
 
 
 def run_cypher(spark: SparkSession, text: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return Cypher(spark, nodes, edges).run(text)
+    """The rows of a query; it may start with ``LOAD CSV WITH HEADERS FROM 'path' AS row [FIELDTERMINATOR 'c']``, whose cells are texts."""
+    cypher = Cypher(spark, nodes, edges)
+    if m := re.match(r"\s*LOAD\s+CSV\s+WITH\s+HEADERS\s+FROM\s+'([^']*)'\s+AS\s+(\w+)(?:\s+FIELDTERMINATOR\s+'([^']+)')?", text, re.I):
+        cells = spark.read.options(header=True, sep=m[3] or ",", quote='"', escape='"', multiLine=True).csv(m[1])
+        cypher.rows, text = cells.toDF(*[f"{m[2]}.{c}" for c in cells.columns]), text[m.end() :]
+    return cypher.run(text)
 
 
 class GraphStore:

@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions.text import json_pointer
-from tessera.operators import filters, market, scan, search, signal, timeseries as ts, vector
+from tessera.operators import filters, fusion, market, scan, search, signal, timeseries as ts, vector
 from tessera.operators.graph import shared_dir
+from tessera.plans.cypher import run_cypher
 from tessera.plans.dml import Database
+from tessera.plans.multiway import multiway_join, run
 from tessera.plans.registry import query, sql, table, use_tables
 from tessera.plans.sql import run_sql
+from tessera.streaming import merge
 
 HOUR = 3_600_000_000
 _CLOSES = f"SELECT event_type, (epoch_us(ts) // {HOUR}) * {HOUR} AS bucket, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY ALL"
@@ -225,9 +228,9 @@ sql("recursive_union", """
 WITH RECURSIVE r(a, b) AS (SELECT n_nationkey, n_regionkey FROM nation UNION SELECT r.a, n_regionkey FROM r JOIN nation ON n_nationkey = r.b) SELECT a, count(*) AS n FROM r GROUP BY a""")
 sql("recursive_cycle", """
 WITH RECURSIVE e AS (SELECT n_nationkey AS s, (n_nationkey * 3 + 1) % 25 AS d FROM nation), r AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON r.d = e.s) SELECT s, count(*) AS n FROM r GROUP BY s""")
-sql("like_meaning", "SELECT conv_id, turn FROM conversations WHERE text LIKE MEANING 'the and of to'", r"""
-WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM conversations), h AS (SELECT *, len(list_intersect(w, ['the', 'and', 'of', 'to'])) AS h FROM w)
-SELECT conv_id, turn FROM h WHERE h > 0 AND h >= 0.5 * sqrt(len(w) * 4.0)""")
+sql("like_meaning", "SELECT p_partkey FROM part WHERE p_name LIKE MEANING 'Small box, ring'", r"""
+WITH w AS (SELECT p_partkey, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM part), h AS (SELECT *, len(list_intersect(w, ['small', 'box', 'ring'])) AS h FROM w)
+SELECT p_partkey FROM h WHERE h > 0 AND h >= 0.5 * sqrt(len(w) * 3.0)""")
 
 
 @query("json_pointer", """
@@ -271,3 +274,108 @@ def copy_out_in(spark, sf_dir):
         db.run("DELETE FROM a")
         db.run(f"COPY a FROM '{root}/{kind}' WITH (FORMAT {kind}, HEADER)")
     return db.run("SELECT * FROM a")
+
+
+@query("procedures_triggers", """
+SELECT 'nations' AS name, count(*) AS n FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'inserted', 1 UNION ALL SELECT 'deleted', 1""")
+def procedures_triggers(spark, sf_dir):
+    use_tables(spark, sf_dir, "nation")
+    db = Database(spark, f"{shared_dir(spark)}/db-{uuid.uuid4().hex}")
+    for text in (
+        "CREATE TABLE t (k BIGINT)", "CREATE TABLE log (name STRING, n BIGINT)",
+        "CREATE TRIGGER a AFTER INSERT ON t EXECUTE $$ INSERT INTO log VALUES ('inserted', 1); $$",
+        "CREATE TRIGGER b BEFORE DELETE ON t PRIORITY 2 EXECUTE $$ INSERT INTO log VALUES ('deleted', 1) $$",
+        "CREATE PROCEDURE fill AS $$ INSERT INTO t SELECT n_nationkey FROM nation WHERE n_regionkey IN ($1, $2); DELETE FROM t WHERE k IN (SELECT n_nationkey FROM nation WHERE n_regionkey = $2) $$",
+        "CALL fill(2, 3)", "ALTER TRIGGER a DISABLE", "INSERT INTO t SELECT k FROM t WHERE k < 0",
+        "PREPARE note AS INSERT INTO log SELECT $1, count(*) FROM t", "EXECUTE note('nations')",
+    ):
+        db.run(text)
+    return db.run("SELECT * FROM log")
+
+
+# ------------------------------------------------- joins, languages, merges
+_EDGES = "SELECT DISTINCT n_nationkey AS s, (n_nationkey * m + n_regionkey) % 25 AS d FROM nation, (VALUES (2), (3), (7)) v(m)"
+
+
+@query("multiway_cycle", f"""
+WITH e AS ({_EDGES}) SELECT DISTINCT w.s AS a, x.s AS b, y.s AS c FROM e w JOIN e x ON w.d = x.s JOIN e y ON x.d = y.s JOIN e z ON y.d = z.s AND z.d = w.s""")
+def multiway_cycle(spark, sf_dir):
+    use_tables(spark, sf_dir, "nation")
+    e = run_sql(spark, _EDGES)
+    return multiway_join({"e": e}, [("e", ["a", "b"]), ("e", ["b", "c"]), ("e", ["c", "d"]), ("e", ["d", "a"])], ["a", "b", "c"])
+
+
+@query("multiway_star", """
+SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey AND c_nationkey = s_nationkey""")
+def multiway_star(spark, sf_dir):
+    t = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "supplier", "customer")}
+    relations = {"o": t["orders"].select("o_orderkey", "o_custkey"), "l": t["lineitem"].select("l_orderkey", "l_suppkey"), "s": t["supplier"].select("s_suppkey", "s_nationkey"), "c": t["customer"].select("c_custkey", "c_nationkey")}
+    return multiway_join(relations, [("o", ["k", "c"]), ("l", ["k", "s"]), ("s", ["s", "n"]), ("c", ["c", "n"])], ["c", "s"])
+
+
+@query("language_dispatch", "SELECT 'sql' AS language, count(*) AS n FROM region UNION ALL SELECT 'cypher', count(*) FROM region UNION ALL SELECT 'cql', count(*) FROM region")
+def language_dispatch(spark, sf_dir):
+    use_tables(spark, sf_dir, "region")
+    nodes = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lit("Region").alias("label"), F.col("r_name").alias("name"))
+    edges = spark.createDataFrame([], "src long, dst long, type string")
+    parts = [
+        run(spark, "sql", "SELECT count(*) AS n FROM region").withColumn("language", F.lit("sql")),
+        run(spark, "cypher", "MATCH (r:Region) RETURN count(r) AS n", nodes=nodes, edges=edges).withColumn("language", F.lit("cypher")),
+        run(spark, "cql", "SELECT count(*) AS n FROM region").withColumn("language", F.lit("cql")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("crdt_counters", "SELECT event_type AS counter, sum(u) - sum(d) AS value FROM (SELECT event_type, user_id, max(event_id) AS u, max(event_id // 2) AS d FROM events GROUP BY ALL) GROUP BY event_type".replace("sum(u) - sum(d)", "CAST(sum(u) - sum(d) AS BIGINT)"))
+def crdt_counters(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return merge.pn_counters(e.select(F.col("event_type").alias("counter"), F.col("user_id").alias("replica"), F.col("event_id").alias("up"), F.expr("event_id div 2").alias("down")))
+
+
+@query("crdt_last_writer", "SELECT user_id, max_by(event_type, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def crdt_last_writer(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return merge.last_writer(e.select("user_id", F.col("event_type").alias("value"), F.col("ts").alias("at"), F.col("event_id").alias("replica")), ["user_id"]).select("user_id", "value")
+
+
+@query("crdt_observed_set", """
+SELECT DISTINCT user_id AS "set", event_type AS element FROM events a WHERE event_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 3 = 0 AND b.user_id = a.user_id AND b.event_type = a.event_type AND (b.event_id // 10) = (a.event_id // 10))""")
+def crdt_observed_set(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("set"), F.col("event_type").alias("element"), F.expr("event_id div 10").alias("tag"), "event_id")
+    return merge.observed_set(e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0"))
+
+
+@query("cypher_load_csv", "SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS total FROM customer WHERE c_custkey > 20 GROUP BY c_mktsegment")
+def cypher_load_csv(spark, sf_dir):
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").write.csv(path, header=True, sep=";")
+    none = spark.createDataFrame([], "id long, label string"), spark.createDataFrame([], "src long, dst long, type string")
+    text = f"LOAD CSV WITH HEADERS FROM '{path}' AS row FIELDTERMINATOR ';' WITH row.c_mktsegment AS segment, CAST(row.c_nationkey AS BIGINT) AS k, CAST(row.c_custkey AS BIGINT) AS c WHERE c > 20 RETURN segment, count(*) AS n, sum(k) AS total"
+    return run_cypher(spark, text, *none)
+
+
+# -------------------------------------------------------------------- fusion
+@query("sig_epochs", f"""
+WITH e AS (SELECT user_id, event_id AS event, epoch_us(ts) AS a0 FROM events WHERE event_type = 'error'), s AS (SELECT user_id, epoch_us(ts) AS t, value FROM events WHERE event_type <> 'error')
+SELECT CAST(floor((t - a0) / {HOUR}) AS BIGINT) * {HOUR} AS "offset", round(avg(value), 6) AS value FROM e JOIN s ON s.user_id = e.user_id AND t >= a0 - {6 * HOUR} AND t < a0 + {12 * HOUR} GROUP BY ALL""")
+def sig_epochs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", ts.micros("ts"))
+    marks = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("event"), F.col("t").alias("at"))
+    aligned = fusion.epochs(e.where("event_type <> 'error'"), marks, ["user_id"], 6 * HOUR, 12 * HOUR)
+    return fusion.epoch_mean(aligned, [], HOUR).select("offset", F.round("value", 6).alias("value"))
+
+
+@query("sig_complementary", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, value AS x FROM e WHERE i = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.i, 0.87654321::DOUBLE * (r.x + (e.event_id % 5) * 0.1::DOUBLE) + (1 - 0.87654321::DOUBLE) * e.value FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id, round(x, 6) AS fused FROM r""")
+def sig_complementary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", (F.col("event_id") % 5 * F.lit(0.1)).alias("rate"))
+    return fusion.complementary(e, ["user_id"], ["ts", "event_id"], "rate", "value", 0.87654321).select("event_id", F.round("fused", 6).alias("fused"))
+
+
+@query("sig_weighted", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber = 1 THEN l_tax ELSE (0.75 * l_discount + 0.25 * l_tax) / 1.0 END, 9) AS fused FROM lineitem")
+def sig_weighted(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").withColumn("d", F.when(F.col("l_linenumber") != 1, F.col("l_discount")))
+    return fusion.weighted(l, ["d", "l_tax"], [0.75, 0.25]).select("l_orderkey", "l_linenumber", F.round("fused", 9).alias("fused"))

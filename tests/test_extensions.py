@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import json_pointer
-from tessera.operators import filters, market, scan, search, signal, timeseries as ts, vector
+from tessera.operators import filters, fusion, market, scan, search, signal, timeseries as ts, vector
 from tessera.plans.dml import Database
+from tessera.plans.multiway import multiway_join, run
 from tessera.plans.sql import run_sql
+from tessera.streaming import merge
 
 
 @pytest.fixture(scope="module")
@@ -182,3 +184,54 @@ def test_sql_forms(spark):
     assert run_sql(spark, text).count() == 9
     assert run_sql(spark, "EXPLAIN SELECT s FROM ring WHERE s > 1").first().cascade_tier in ("lookup", "formula")
     assert run_sql(spark, "SELECT 'the red house' LIKE MEANING 'red house' AS a, 'blue' LIKE MEANING 'red' AS b, 'blue' NOT LIKE MEANING 'red' AS c").first()[:] == (True, False, True)
+
+
+def test_merges_ignore_order_and_repeats(spark):
+    s = spark.createDataFrame([("c", "a", 3, 0), ("c", "a", 5, 1), ("c", "b", 2, 2), ("c", "a", 3, 0)], "counter string, replica string, up long, down long")
+    assert merge.pn_counters(s.union(s)).first().value == 4
+    w = spark.createDataFrame([("k", "old", 1, "z"), ("k", "new", 2, "a"), ("k", "tie", 2, "b")], "k string, value string, at long, replica string")
+    assert merge.last_writer(w, ["k"]).first().value == "tie"
+    a = spark.createDataFrame([("s", "x", 1), ("s", "x", 2), ("s", "y", 3)], "set string, element string, tag long")
+    assert [r.element for r in merge.observed_set(a, a.where("tag <> 2")).collect()] == ["x"]
+    v = spark.createDataFrame([("r", 1, "a", []), ("r", 2, "b", [1]), ("r", 3, "c", [1])], "register string, id long, value string, seen array<long>")
+    assert {r.value for r in merge.concurrent_values(v).collect()} == {"b", "c"}
+
+
+def test_kalman_and_epochs(spark):
+    rows = [("a", 0, None, None), ("a", 1, 10.0, None), ("a", 2, 12.0, 11.0), ("b", 0, 1.0, 3.0)]
+    got = {(r.k, r.i): r for r in fusion.kalman(spark.createDataFrame(rows, "k string, i long, x double, y double"), ["k"], ["i"], ["x", "y"], [1.0, 2.0], 0.5).collect()}
+    assert got["a", 0].fused is None and (got["a", 1].fused, got["a", 1].variance) == (10.0, 1.0)
+    x, p = 10 + 2 * 1.5 / 2.5, 1.5 * 1.0 / 2.5
+    g = p / (p + 2)
+    assert got["a", 2].fused == pytest.approx(x + g * (11 - x)) and got["a", 2].variance == pytest.approx((1 - g) * p)
+    s = spark.createDataFrame([("k", t, float(t)) for t in range(0, 100, 10)], "k string, t long, value double")
+    e = spark.createDataFrame([("k", 1, 30), ("k", 2, 50)], "k string, event long, at long")
+    near = {(r.event, r.offset, r.value) for r in fusion.epochs(s, e, ["k"], 10, 20).collect()}
+    assert near == {(1, -10, 20.0), (1, 0, 30.0), (1, 10, 40.0), (2, -10, 40.0), (2, 0, 50.0), (2, 10, 60.0)}
+    aligned = fusion.epochs(s, e, ["k"], 10, 20)
+    for kind in ("mean", "median", "grand_mean"):
+        assert {(r.offset, r.value) for r in fusion.epoch_mean(aligned, ["k"], 10, kind).collect()} == {(-10, 30.0), (0, 40.0), (10, 50.0)}
+
+
+def test_multiway_join(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 3), (None, 1), (1, 2)], "s int, d int")
+    got = {tuple(r) for r in multiway_join({"e": e}, [("e", ["a", "b"]), ("e", ["b", "c"]), ("e", ["c", "a"])], ["a", "b", "c"]).collect()}
+    assert got == {(1, 2, 3), (2, 3, 1), (3, 1, 2), (3, 3, 3)}
+    assert [r.a for r in multiway_join({"e": e}, [("e", ["a", "a"])], ["a"]).collect()] == [3]
+    for atoms, output in (([("e", ["a", "b"]), ("e", ["c", "d"])], ["a"]), ([("e", ["a", "b"])], ["z"])):
+        with pytest.raises(ValueError):
+            multiway_join({"e": e}, atoms, output)
+    with pytest.raises(ValueError):
+        run(spark, "klingon", "")
+
+
+def test_procedures_and_triggers(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    db.run("CREATE TABLE t (s STRING)")
+    db.run("CREATE TRIGGER a AFTER INSERT ON t EXECUTE $$ INSERT INTO t VALUES ('a;b'); $$")
+    db.run("PREPARE p AS INSERT INTO t VALUES ('$1'), ($1)")
+    db.run("EXECUTE p('x, y')")
+    assert sorted(r.s for r in db.run("SELECT * FROM t").collect()) == ["$1", "a;b", "x, y"]
+    db.run("DROP TRIGGER a")
+    with pytest.raises(ValueError):
+        db.run("EXECUTE p")
