@@ -5,15 +5,19 @@ of class bigrams; a text's probability is the product of class transitions and
 word emissions. It has two steps. First the driver exchanges units between
 classes until none moves: the ``TOP_WORDS`` most frequent words, ``SUFFIXES``
 groups of all other words by their last two bytes, and the end of a text, a
-table of fixed size. Then a distributed pass counts for each of the up to
-``FREQUENT`` most frequent words how often each class stands before and behind
-it, and moves the word to the class that raises the likelihood most. Only
-words beyond those, and unseen ones, keep the class of their suffix group.
-Class bigrams, class sizes, word counts and distinct words are then counted
-over all training texts.
-
-Counts of at most ``FREQUENT`` words are broadcast; tokens of all other words
-(a tenth or so) meet their counts in a join, pre-counted per text.
+table of fixed size. Then a distributed pass counts for each other training
+word, however rare, how often each class stands before and behind it, and
+moves the word to the class that raises the likelihood most. Only words that
+no training text holds keep the class of their suffix group. Class bigrams,
+class sizes, word counts and distinct words are then counted over all training
+texts.
+
+Texts are cut into words twice, to count them and to write chunks of word
+numbers, which later passes read. At most ``FREQUENT`` words are broadcast and
+have a number of their own; a chunk lists its other words (a tenth or so of
+the tokens) by ``BUCKETS`` of their checksums. A word's occurrences of all
+chunks meet in its bucket, which returns its class and count to each chunk;
+so ``FREQUENT`` bounds memory and changes no result.
 
 Defined cases: null text counts as empty and has the end alone; a null
 document id is held out; without training texts all counts are 0 and the
@@ -26,7 +30,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, scratch
+from tessera.llm.common import _ROWS_CONF, cut, scratch
 
 TOP_WORDS, SUFFIXES, CLASSES = 384, 127, 64
 UNITS = TOP_WORDS + SUFFIXES + 1
@@ -46,8 +51,10 @@ FREQUENT = 200_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
 ALPHA, KAPPA = 0.1, 20.0
-#: Sweeps of the exchange, which ends where a sweep moves nothing.
-SWEEPS = 60
+#: Tokens of a chunk, unless a single text has more; chunks of an Arrow batch.
+CHUNK_TOKENS, CHUNK_ROWS = 1 << 20, 8
+#: Parts that words are dealt to, and words whose contexts are held at once.
+BUCKETS, BLOCK = 1024, 4096
 
 
 def held_out() -> Column:
@@ -118,13 +125,15 @@ def units_of(words: WordIndex) -> np.ndarray:
 def exchange(bigrams: np.ndarray) -> np.ndarray:
     """Class of each unit: every unit in turn moves to the class that raises the bigram likelihood most.
 
-    ``bigrams[u, v]`` counts v after u. The end keeps a class of its own.
+    ``bigrams[u, v]`` counts v after u. The end keeps a class of its own. Ends where a sweep
+    moves nothing: each move raises the likelihood by more than its rounding.
     """
 
     def f(x):
         return x * np.log(np.maximum(x, 1e-300))
 
     n = bigrams.astype(float)
+    least = 1e-9 + 1e-13 * float(f(n.sum()))
     order = np.argsort(-n.sum(0), kind="stable")
     order = order[order != END_UNIT]
     cls = np.full(UNITS, CLASSES - 1)
@@ -132,7 +141,8 @@ def exchange(bigrams: np.ndarray) -> np.ndarray:
     member = np.zeros((UNITS, CLASSES))
     member[np.arange(UNITS), cls] = 1
     g = member.T @ n @ member
-    for _ in range(SWEEPS):
+    moved = 1
+    while moved:
         moved = 0
         for u in order:
             a, self_n = cls[u], n[u, u]
@@ -143,7 +153,7 @@ def exchange(bigrams: np.ndarray) -> np.ndarray:
             member[u, a] = 0
             r[a] -= self_n
             l[a] -= self_n
-            rows, cols, fg = g.sum(1), g.sum(0), f(g)
+            rows, cols, fg = g.sum(1) + l, g.sum(0) + r, f(g)  # what the unit follows and precedes counts wherever it goes
             up = f(g + r[None, :]) - fg
             side = f(g + l[:, None]) - fg
             gain = up.sum(1) - up.diagonal() + side.sum(0) - side.diagonal()
@@ -151,76 +161,271 @@ def exchange(bigrams: np.ndarray) -> np.ndarray:
             gain -= f(rows + r.sum() + self_n) - f(rows) + f(cols + l.sum() + self_n) - f(cols)
             gain[CLASSES - 1] = -np.inf
             b = int(gain.argmax())
-            b = a if gain[b] <= gain[a] + 1e-9 else b
+            b = a if gain[b] <= gain[a] + least else b
             member[u, b], cls[u] = 1, b
             g[b] += r
             g[:, b] += l
             g[b, b] += self_n
             moved += a != b
-        if not moved:
-            break
     return cls
 
 
 def context_gains(pairs: np.ndarray) -> np.ndarray:
     """Gain, to first order, for one context of a word: rows are classes behind it, then classes before it; columns the word's class.
 
-    Only the end has the last class.
+    Only the end has the last class. Multiples of 2 ** -16 add up without rounding, so the order of contexts decides no tie.
     """
     p = pairs + 0.5
     behind = np.log(p / p.sum(1, keepdims=True)).T
     before = np.log(p / p.sum(0, keepdims=True))
-    out = np.concatenate([behind, before])
+    out = np.round(np.concatenate([behind, before]) * 65536) / 65536
     out[:, CLASSES - 1] = -np.inf
     return out
 
 
-def classed_tokens(batch: pa.RecordBatch, words: WordIndex, of_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all tokens of a batch, -1 for the end, which also goes before the first text; and their classes."""
-    line: list[int] = []
-    for text in words_of(batch):
-        line.append(-1)
-        line.extend(map(words.__getitem__, text))
-    line.append(-1)
-    at = np.array(line)
-    return at, np.append(of_place, CLASSES - 1)[at]
+class ChunkIndex(WordIndex):
+    """Frequent words to their place; the other words of a chunk get places behind those in turn."""
 
+    def __init__(self, words: list[bytes]):
+        super().__init__(words)
+        self.new: list[bytes] = []
 
-def word_classes(docs: DataFrame, index, units: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Class of each place of the WordIndex: of units as given, of every other frequent word by its contexts."""
-    words = WordIndex(index.value.split())
-    out = units[units_of(words)]
-    if words.size <= TOP_WORDS:
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = self.size + len(self.new)
+        self.new.append(word)
+        return place
+
+    def take(self) -> list[bytes]:
+        """The chunk's other words, which are forgotten."""
+        out, self.new = self.new, []
+        for w in out:
+            del self[w]
         return out
-    shared = docs.sparkSession.sparkContext.broadcast((out, context_gains(pairs)))
+
+
+CHUNK = "held array<boolean>, sizes binary, places binary, words binary, groups binary, edges binary"
+
+
+def encode(docs: DataFrame, index) -> DataFrame:
+    """``docs`` in chunks of texts: their ids, held_out and sizes, places of all tokens, and the chunk's other words.
+
+    Those are sorted by bucket (``edges``), with their suffix groups; a place of ``index.size`` + i is the i-th of them.
+    """
+
+    def run(batches):
+        words, row = ChunkIndex(index.value.split()), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = words_of(batch)
+            upto = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            a = 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + CHUNK_TOKENS, "right")) - 1)
+                size = np.diff(upto[a : b + 1])
+                at = np.fromiter(map(words.__getitem__, chain.from_iterable(texts[a:b])), np.int32, int(size.sum()))
+                new = words.take()
+                bucket = np.fromiter(map(zlib.crc32, new), np.int64, len(new)) % BUCKETS
+                order = np.argsort(bucket, kind="stable")
+                rank = np.empty(len(new), np.int32)
+                rank[order] = np.arange(len(new), dtype=np.int32)
+                other = at >= words.size
+                at[other] = words.size + rank[at[other] - words.size]
+                new = [new[i] for i in order.tolist()]
+                groups = bytes([zlib.crc32(w[-2:]) % SUFFIXES for w in new])
+                edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(k).slice(a, b - a)) for k in ("doc_id", "held_out")]
+                data = [size.astype(np.int64).tobytes(), at.tobytes(), b"\n".join(new), groups, edges.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in data]], ["chunk", "ids", "held", "sizes", "places", "words", "groups", "edges"])
+                row, a = row + 1, b
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return cut(docs.mapInArrow(run, f"chunk long, ids array<{kind}>, {CHUNK}"))
+
+
+def numbers(batch: pa.RecordBatch, column: str, i: int, kind) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[i].as_py(), kind)
+
+
+def token_line(batch: pa.RecordBatch, i: int, trained: bool = True) -> np.ndarray:
+    """Places of the tokens of a chunk (of its training texts), -1 for the end, which also goes before the first text."""
+    size, places = numbers(batch, "sizes", i, np.int64), numbers(batch, "places", i, np.int32)
+    if trained:
+        keep = ~np.array(batch.column("held")[i].as_py(), bool)
+        places, size = places[np.repeat(keep, size)], size[keep]
+    line = np.full(len(places) + len(size) + 1, -1, np.int32)
+    line[np.arange(len(places)) + np.repeat(np.arange(1, len(size) + 1), size)] = places
+    return line
+
+
+def unit_bigrams(chunks: DataFrame, unit) -> np.ndarray:
+    """Counts [previous unit, unit] over training texts; a text starts after an end. ``unit`` has the unit of each frequent word."""
+
+    def run(batches):
+        total = np.zeros(UNITS * UNITS, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                u = np.concatenate([unit.value, TOP_WORDS + numbers(batch, "groups", i, np.uint8).astype(np.int64), [END_UNIT]])[token_line(batch, i)]
+                total += np.bincount(u[:-1] * UNITS + u[1:], minlength=UNITS * UNITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["k", "n"])
+
+    out = np.zeros(UNITS * UNITS)
+    slim = chunks.select("held", "sizes", "places", "groups")
+    for r in slim.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most UNITS * UNITS rows
+        out[r.k] = r.n
+    return out.reshape(UNITS, UNITS)
+
+
+def best_classes(keys: np.ndarray, n: int, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and number of contexts of each of ``n`` words, from sorted keys (word * 2 * CLASSES + slot), one a context."""
+    best, contexts = np.zeros(n, np.uint8), np.zeros(n, np.int64)
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        lo, hi = np.searchsorted(keys, [a * 2 * CLASSES, b * 2 * CLASSES])
+        dense = np.bincount(keys[lo:hi] - a * 2 * CLASSES, minlength=(b - a) * 2 * CLASSES).reshape(b - a, 2 * CLASSES)
+        best[a:b], contexts[a:b] = (dense.astype(float) @ gains).argmax(axis=1), dense.sum(axis=1)
+    return best, contexts
+
+
+def contexts_of(line: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Keys of the class behind and before each token of ``own``, which are never the first or last, as those are ends."""
+    at = line[own].astype(np.int64) * (2 * CLASSES)
+    return np.concatenate([at + c[own + 1], at + CLASSES + c[own - 1]])
+
+
+def frequent_classes(chunks: DataFrame, first, gains) -> np.ndarray:
+    """Class of each frequent word: of units as given in ``first`` (classes of words, then of suffix groups), of others by their contexts."""
+    known = first.value[0]
+    n = len(known)
+    if n <= TOP_WORDS:
+        return known
 
     def count(batches):
-        words, of_place = WordIndex(index.value.split()), shared.value[0]
+        held, size = [], 0
+
+        def rows():
+            k, m = np.unique(np.concatenate(held), return_counts=True)
+            part = k // (2 * CLASSES) % BUCKETS
+            order = np.argsort(part, kind="stable")
+            k, m = k[order].astype(np.int64), m[order].astype(np.int64)
+            edges = np.searchsorted(part[order], np.arange(BUCKETS + 1))
+            some = np.flatnonzero(np.diff(edges))
+            pieces = [(k[edges[b] : edges[b + 1]].tobytes(), m[edges[b] : edges[b + 1]].tobytes()) for b in some.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([p for p, _ in pieces], pa.binary()), pa.array([p for _, p in pieces], pa.binary())], ["bucket", "k", "m"])
+
+        of_place, of_group = first.value
         for batch in batches:
-            at, c = classed_tokens(batch, words, of_place)
-            own = np.flatnonzero((at >= TOP_WORDS) & (at < words.size))  # never the first or last, which are ends
-            keys = np.concatenate([at[own] * (2 * CLASSES) + c[own + 1], at[own] * (2 * CLASSES) + CLASSES + c[own - 1]])
-            k, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((k // (2 * CLASSES)).astype(np.int32)), pa.array((k % (2 * CLASSES)).astype(np.int32)), pa.array(n.astype(np.int64))], ["w", "slot", "n"])
+            for i in range(batch.num_rows):
+                line = token_line(batch, i)
+                c = np.concatenate([of_place, of_group[numbers(batch, "groups", i, np.uint8)], [CLASSES - 1]])[line]
+                own = np.flatnonzero((line >= TOP_WORDS) & (line < n))
+                held.append(contexts_of(line, c, own).astype(np.int32))
+                size += len(held[-1])
+                if size > 4 * CHUNK_TOKENS:
+                    yield rows()
+                    held, size = [], 0
+        if size:
+            yield rows()
 
     def choose(batches):
-        gains = shared.value[1]
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            lists = batch.column("contexts")
-            flat, edges = lists.flatten(), lists.offsets.to_numpy()
-            dense = np.zeros((batch.num_rows, 2 * CLASSES))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
-            dense[row, flat.field("slot").to_numpy()] = flat.field("n").to_numpy()
-            best = (dense @ np.where(np.isinf(gains), -1e30, gains)).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(best.astype(np.int32))], ["w", "c"])
-
-    counted = docs.select("text").mapInArrow(count, "w int, slot int, n long").groupBy("w", "slot").agg(F.sum("n").alias("n"))
-    grouped = counted.groupBy("w").agg(F.collect_list(F.struct("slot", "n")).alias("contexts"))  # at most 2 * CLASSES a word
-    chosen = grouped.mapInArrow(choose, "w int, c int").toArrow()  # at most FREQUENT rows
+            for i, b in enumerate(batch.column("bucket").to_pylist()):
+                k, m = numbers(batch, "k", i, np.int64), numbers(batch, "m", i, np.int64)
+                if b not in total:
+                    total[b] = np.zeros(((n - b - 1) // BUCKETS + 1, 2 * CLASSES))
+                total[b][k // (2 * CLASSES) // BUCKETS, k % (2 * CLASSES)] += m
+        for b, dense in total.items():
+            w = np.flatnonzero(dense.any(axis=1))
+            best = (dense[w] @ gains.value).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(w * BUCKETS + b, pa.int32()), pa.array(best, pa.int32())], ["w", "c"])
+
+    counted = chunks.select("held", "sizes", "places", "groups").mapInArrow(count, "bucket int, k binary, m binary")
+    chosen = counted.repartition("bucket").mapInArrow(choose, "w int, c int").toArrow()  # at most FREQUENT rows
+    out = known.copy()
     out[chosen["w"].to_numpy()] = chosen["c"].to_numpy()
     return out
 
 
+def other_classes(chunks: DataFrame, first, gains) -> DataFrame:
+    """chunk, bucket, and class and training count of each of the chunk's words of that bucket, in their order.
+
+    A row of chunk -1 has the number of distinct training words of each class in its bucket.
+    """
+
+    def count(batches):
+        of_place, of_group = first.value
+        n = len(of_place)
+        for batch in batches:
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                edges, line = numbers(batch, "edges", i, np.int32).astype(np.int64), token_line(batch, i)
+                c = np.concatenate([of_place, of_group[numbers(batch, "groups", i, np.uint8)], [CLASSES - 1]])[line]
+                keys = np.sort(contexts_of(line, c, np.flatnonzero(line >= n)) - n * 2 * CLASSES)
+                cuts = np.searchsorted(keys, edges * (2 * CLASSES)).tolist()
+                words = batch.column("words")[i].as_py().split(b"\n")
+                at = edges.tolist()
+                some = [b for b in range(BUCKETS) if at[b] < at[b + 1]]
+                names = [b"\n".join(words[at[b] : at[b + 1]]) for b in some]
+                found = [(keys[cuts[b] : cuts[b + 1]] - at[b] * 2 * CLASSES).astype(np.int32).tobytes() for b in some]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(names, pa.binary()), pa.array(found, pa.binary())], ["chunk", "bucket", "words", "keys"])
+
+    def choose(batches):
+        parts: dict[int, list] = defaultdict(list)
+        for batch in batches:
+            for chunk, b, names, found in zip(*(batch.column(k).to_pylist() for k in ("chunk", "bucket", "words", "keys"))):
+                parts[b].append((chunk, names, found))
+        for b in list(parts):
+            place: dict[bytes, int] = {}
+            mine, keys, own = parts.pop(b), [], []
+            for _, names, found in mine:
+                own.append(np.array([place.setdefault(w, len(place)) for w in names.split(b"\n")]))
+                k = np.frombuffer(found, np.int32).astype(np.int64)
+                keys.append(own[-1][k // (2 * CLASSES)] * (2 * CLASSES) + k % (2 * CLASSES))
+            best, contexts = best_classes(np.sort(np.concatenate(keys)), len(place), gains.value)
+            c = contexts // 2
+            distinct = np.bincount(best[c > 0], minlength=CLASSES).astype(np.int64)
+            chunk = [-1, *[m[0] for m in mine]]
+            classes = [distinct.tobytes(), *[best[o].tobytes() for o in own]]
+            counts = [b"", *[c[o].tobytes() for o in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([b] * len(chunk), pa.int32()), pa.array(classes, pa.binary()), pa.array(counts, pa.binary())], ["chunk", "bucket", "classes", "counts"])
+
+    counted = chunks.select("chunk", "held", "sizes", "places", "words", "groups", "edges").mapInArrow(count, "chunk long, bucket int, words binary, keys binary")
+    return cut(counted.repartition("bucket").mapInArrow(choose, "chunk long, bucket int, classes binary, counts binary"))
+
+
+def classed(chunks: DataFrame, others: DataFrame, final, of_group, logs) -> DataFrame:
+    """Chunks with the class of each token, and per text the sum of its words' log10 counts and the number of known words."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n = len(final.value)
+                groups, edges = numbers(batch, "groups", i, np.uint8), numbers(batch, "edges", i, np.int32)
+                c, k = of_group[groups], np.zeros(len(groups), np.int64)
+                for part in batch.column("parts")[i].as_py() or []:
+                    a, b = edges[part["bucket"]], edges[part["bucket"] + 1]
+                    k[a:b] = np.frombuffer(part["counts"], np.int64)
+                    c[a:b] = np.where(k[a:b] > 0, np.frombuffer(part["classes"], np.uint8), c[a:b])
+                line = token_line(batch, i, trained=False)
+                out = np.concatenate([final.value, c, [CLASSES - 1]])[line].astype(np.uint8)
+                weight = np.concatenate([logs.value, np.log10(k + ALPHA), [0.0]])[line]
+                known = np.concatenate([np.ones(n, np.int64), k > 0, [0]])[line]
+                starts = text_ends(numbers(batch, "sizes", i, np.int64))[:-1]  # each text goes with the end before it, which adds nothing
+                seen, also = np.add.reduceat(weight[:-1], starts), np.add.reduceat(known[:-1], starts)
+                data = [batch.column("sizes")[i].as_py(), out.tobytes(), seen.tobytes(), also.tobytes()]
+                lists = [batch.column(x).slice(i, 1) for x in ("ids", "held")]
+                yield pa.RecordBatch.from_arrays([*lists, *[pa.array([x], pa.binary()) for x in data]], ["ids", "held", "sizes", "classes", "seen", "known"])
+
+    parts = others.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "classes", "counts")).alias("parts"))  # at most BUCKETS a chunk
+    kind = chunks.schema["ids"].dataType.simpleString()
+    joined = chunks.drop("words").join(parts, "chunk", "left")
+    return cut(joined.mapInArrow(run, f"ids {kind}, held array<boolean>, sizes binary, classes binary, seen binary, known binary"))
+
+
+def text_ends(size: np.ndarray) -> np.ndarray:
+    """Positions of the end before the first text and of each text's own in a chunk's line."""
+    return np.concatenate([[0], np.cumsum(size + 1)])
+
+
 class ClassModel:
     """Log10 transition and emission terms of the class bigram model."""
 
@@ -232,63 +437,25 @@ class ClassModel:
         self.emission = np.log10(pairs.sum(0) + ALPHA * (distinct + 1))
 
 
-def class_pairs(docs: DataFrame, index, of_place) -> np.ndarray:
-    """Counts [previous class, class] over ``docs``."""
+def class_pairs(chunks: DataFrame) -> np.ndarray:
+    """Counts [previous class, class] over training texts."""
 
     def run(batches):
-        words, total = WordIndex(index.value.split()), np.zeros(CLASSES * CLASSES, np.int64)
+        total = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
-            _, c = classed_tokens(batch, words, of_place.value)
-            total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+            for i in range(batch.num_rows):
+                c = numbers(batch, "classes", i, np.uint8).astype(np.int64)
+                step = c[:-1] * CLASSES + c[1:]
+                keep = ~np.array(batch.column("held")[i].as_py(), bool)
+                total += np.bincount(step[np.repeat(keep, numbers(batch, "sizes", i, np.int64) + 1)], minlength=CLASSES * CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
 
     out = np.zeros(CLASSES * CLASSES)
-    for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # CLASSES * CLASSES rows
+    for r in chunks.select("held", "sizes", "classes").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # CLASSES * CLASSES rows
         out[r.k] = r.n
     return out.reshape(CLASSES, CLASSES)
 
 
-def unit_bigrams(docs: DataFrame, index) -> np.ndarray:
-    """Counts [previous unit, unit] over ``docs``; a text starts after an end."""
-
-    def run(batches):
-        words = WordIndex(index.value.split())
-        unit = units_of(words)
-        total = np.zeros(UNITS * UNITS, np.int64)
-        for batch in batches:
-            line: list[int] = []
-            for text in words_of(batch):
-                line.append(-1)
-                line.extend(map(words.__getitem__, text))
-            line.append(-1)
-            u = np.append(unit, END_UNIT)[np.array(line)]
-            total += np.bincount(u[:-1] * UNITS + u[1:], minlength=UNITS * UNITS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["k", "n"])
-
-    out = np.zeros(UNITS * UNITS)
-    for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most UNITS * UNITS rows
-        out[r.k] = r.n
-    return out.reshape(UNITS, UNITS)
-
-
-def distinct_words(counts: DataFrame, index, of_place) -> np.ndarray:
-    """Distinct words of each class."""
-
-    def run(batches):
-        words, total = WordIndex(index.value.split()), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            found = [w for w in batch.column("word").to_pylist() if w != END]
-            total += np.bincount(of_place.value[np.fromiter(map(words.__getitem__, found), np.int64, len(found))], minlength=CLASSES)
-            total[CLASSES - 1] += batch.num_rows - len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], ["c", "n"])
-
-    out = np.zeros(CLASSES)
-    for r in counts.select("word").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        out[r.c] = r.n
-    return out
-
-
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row of ``docs``."""
     with scratch(docs.sparkSession):
@@ -297,70 +464,52 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 def _lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     slim = docs.select("doc_id", "text", held_out().alias("held_out"))
-    train = slim.where(~F.col("held_out"))
-    counts = cut(word_counts(train))
+    counts = cut(word_counts(slim.where(~F.col("held_out"))))
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bound = frequent_bound(counts)
     end = F.lit(bytearray(END))
     c_end = (counts.where(F.col("word") == end).select("c").first() or [0])[0]
-    top = sorted(((r.c, bytes(r.word)) for r in counts.where((F.col("c") >= bound) & (F.col("word") != end)).collect()), key=lambda x: (-x[0], x[1]))
-    index = spark.sparkContext.broadcast(b"\n".join(w for _, w in top))
-    logs = np.log10(np.array([c for c, _ in top], float) + ALPHA)
-    bigrams = unit_bigrams(train, index)
+    inner = counts.where(F.col("word") != end)
+    rows = inner.where(F.col("c") >= bound).collect()  # at most FREQUENT rows
+    if len(rows) < TOP_WORDS:  # many words share the bound's count
+        rows = inner.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
+    top = sorted(((r.c, bytes(r.word)) for r in rows), key=lambda x: (-x[0], x[1]))
+    words = [w for _, w in top]
+    chunks = encode(slim, share(b"\n".join(words)))
+    spark.conf.set(_ROWS_CONF, str(CHUNK_ROWS))  # until ``scratch`` ends; a chunk has many texts
+    unit = units_of(WordIndex(words))[: len(words)]
+    bigrams = unit_bigrams(chunks, share(unit))
     units = exchange(bigrams)
     member = np.eye(CLASSES)[units]
-    of_class = word_classes(train, index, units, member.T @ bigrams @ member)
-    places = spark.sparkContext.broadcast(of_class)
-    model = ClassModel(class_pairs(train, index, places), distinct_words(counts, index, places))
-    shared = spark.sparkContext.broadcast((logs, of_class, model.transition, model.emission))
+    gains = context_gains(member.T @ bigrams @ member)
+    gains = share(np.where(np.isinf(gains), -1e12, gains))
+    of_group = units[TOP_WORDS : TOP_WORDS + SUFFIXES]
+    first = share((units[unit], of_group))
+    final = frequent_classes(chunks, first, gains)
+    others = other_classes(chunks, first, gains)
+    distinct = np.bincount(final, minlength=CLASSES)
+    distinct[CLASSES - 1] += c_end > 0
+    for r in others.where("chunk = -1").select("classes").collect():  # at most BUCKETS rows
+        distinct += np.frombuffer(r.classes, np.int64)
+    scored = classed(chunks, others, share(final), of_group, share(np.log10(np.array([c for c, _ in top], float) + ALPHA)))
+    model = ClassModel(class_pairs(scored), distinct)
+    transition, emission = model.transition.ravel(), np.where(np.arange(CLASSES) < CLASSES - 1, model.emission, 0.0)
     log_end = math.log10(c_end + ALPHA)
     per_token = math.log10(n_all + ALPHA * (v_all + 1))
 
     def run(batches):
-        words = WordIndex(index.value.split())
-        logs, of_class, transition, emission = shared.value
-        padded = np.concatenate([logs, np.zeros(SUFFIXES)])
-        end_class, row = CLASSES - 1, TaskContext.get().partitionId() << 33
-        flat = transition.ravel()
         for batch in batches:
-            uid, n, known, base, model_part, rare = [], [], [], [], [], []
-            for text in words_of(batch):
-                at = np.fromiter(map(words.__getitem__, text), np.int64, len(text))
-                c = np.concatenate([[end_class], of_class[at], [end_class]])
-                other = np.flatnonzero(at >= words.size)
-                seen = float(padded[at].sum())
-                step = float(flat[c[:-1] * CLASSES + c[1:]].sum() - emission[c[1:-1]].sum())
-                uid.append(row)
-                row += 1
-                n.append(len(text) + 1)
-                known.append(len(text) - len(other) + (c_end > 0))
-                base.append(seen)
-                model_part.append(step)
-                rare.append([{"word": w, "k": k} for w, k in Counter([text[i] for i in other.tolist()]).items()])
-            pair = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-            arrays = [pa.array(uid, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model_part), pa.array(rare, pair)]
-            yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "held_out", "n", "known", "seen", "steps", "rare"])
+            for i in range(batch.num_rows):
+                c, size = numbers(batch, "classes", i, np.uint8).astype(np.int64), numbers(batch, "sizes", i, np.int64)
+                seen, known = numbers(batch, "seen", i, np.float64), numbers(batch, "known", i, np.int64) + (c_end > 0)
+                starts = text_ends(size)[:-1]
+                steps = np.add.reduceat(transition[c[:-1] * CLASSES + c[1:]] - emission[c[:-1]], starts)
+                n, score = size + 1, seen + steps
+                base = seen + log_end - n * per_token
+                data = [n, known, np.full(len(n), n_all, np.int64), base, score, np.power(10.0, -score / n)]
+                yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten(), batch.column("held").slice(i, 1).flatten(), *[pa.array(x) for x in data]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = cut(slim.mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, n long, known long, seen double, steps double, rare array<struct<word:binary,k:bigint>>"))
-    tokens = scored.select("uid", F.explode("rare").alias("t")).select("uid", "t.word", "t.k")
-    none = F.lit(None).cast("long")
-    found = tokens.join(counts.where(F.col("c") < bound), "word", "left") if n_all else tokens.withColumn("c", none)  # untrained, no word is rare
-    extra = found.groupBy("uid").agg(
-        F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also")
-    )
-    out = scored.drop("rare").join(extra, "uid", "left")
-    logs_sum = F.col("seen") + F.coalesce("more", F.lit(0.0))
-    score = logs_sum + F.col("steps")
-    out = out.select(
-        "doc_id",
-        "held_out",
-        F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (logs_sum + log_end - F.col("n") * per_token).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n")).alias("perplexity"),
-    )
-    return cut(out, keep=True)
+    return cut(scored.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"), keep=True)

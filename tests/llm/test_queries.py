@@ -183,6 +183,42 @@ def test_op8_scores(spark):
     assert {(x.n_known, x.train_tokens) for x in lm.lm_scores(untrained).collect()} == {(0, 0)}
 
 
+def test_op8_rare_words_get_classes_too(spark, monkeypatch):
+    """However few words are broadcast, and however texts are chunked, every training word has the class of its own contexts."""
+    r = np.random.default_rng(1)
+    p = 1 / np.arange(1, 1501)
+    rows = [(i, " ".join(f"w{k}" for k in r.choice(1500, r.integers(0, 60), p=p / p.sum()))) for i in range(200)] + [(None, "w1 new new w2"), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    want = {x.doc_id: x for x in lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 400)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 300, raising=False)
+    got = lm.lm_scores(docs).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert tuple(x)[:5] == tuple(want[x.doc_id])[:5]
+        assert tuple(x)[5:] == pytest.approx(tuple(want[x.doc_id])[5:], rel=1e-9), x
+
+
+def test_exchange_ends_where_no_move_helps():
+    r = np.random.default_rng(7)
+    hidden = r.integers(0, 90, lm.UNITS)
+    n = r.poisson(r.dirichlet(np.ones(90) * 0.05, 90)[hidden][:, hidden] * 40).astype(float)
+    cls = lm.exchange(n)
+
+    def likelihood(c):
+        m = np.eye(lm.CLASSES)[c]
+        g = m.T @ n @ m
+        f = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+        return f(g) - f(g.sum(0)) - f(g.sum(1))
+
+    best = likelihood(cls)
+    for u in r.choice(lm.UNITS - 1, 40, replace=False):
+        for k in range(lm.CLASSES - 1):
+            moved = cls.copy()
+            moved[u] = k
+            assert likelihood(moved) <= best + 1e-6
+
+
 def test_empty_tables(spark):
     from tessera.llm import jaccard, urls
 
