@@ -23,6 +23,8 @@ import unicodedata
 
 import regex
 
+from tessera.llm.common import cut, release, scratch
+
 #: Pieces kept in a cache of a worker (about 200 bytes each, two caches), and the longest piece kept.
 CACHE_PIECES, CACHE_BYTES = 300_000, 64
 
@@ -129,6 +131,7 @@ class BytePairEncoder:
         """Ends a task: its worker lives on, beside those of other operators."""
         self.cache.clear()
         self.tokens.clear()
+        release()
 
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_packed(text.encode("utf-8"))).cast("I").tolist()
@@ -182,7 +185,8 @@ def bpe_digests(docs, path: str):
         coder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    with scratch(docs.sparkSession):  # JVM and worker each hold a batch of whole texts
+        return cut(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"), keep=True)
 
 
 def bpe_encode(docs, path: str):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import _Cache
-from tessera.llm.common import cut
+from tessera.llm.common import cut, release
 
 SHINGLE = 5
 #: Shingles that a task counts before it passes them on.
@@ -47,6 +47,7 @@ def shingle_set(text: bytes) -> np.ndarray:
 def forget() -> None:
     """Ends a task: its worker lives on, beside those of other operators."""
     _word_hash.clear()
+    release()
 
 
 def set_id(shingles: np.ndarray) -> int:

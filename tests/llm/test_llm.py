@@ -358,6 +358,22 @@ def test_jaccard_chains_and_shared_passages(spark):
     assert got == brute_components(rows)
 
 
+def test_bpe_reads_small_batches(spark, docs, monkeypatch):
+    """Whole texts cross to the worker BATCH_ROWS at a time; the session's setting is restored."""
+    from tessera.llm import common
+
+    seen, conf = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+
+    def spy(df, keep=False):
+        seen.append(int(spark.conf.get(conf)))
+        return common.cut(df, keep)
+
+    monkeypatch.setattr(bpe, "cut", spy, raising=False)
+    assert bpe.bpe_digests(docs, PATH).count() == len(ROWS)
+    assert seen and max(seen) <= common.BATCH_ROWS and spark.conf.get(conf) == before
+
+
 def test_class_lm(spark, docs, empty):
     got = {r.doc_id: r for r in lm.lm_scores(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     c = Counter()
