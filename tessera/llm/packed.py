@@ -194,23 +194,26 @@ class LibraryEncoder:
     def _learn(self, new: list[bytes]) -> None:
         plans, unseen = [], {}
         for piece in new:
-            if self.cut is not None and not _AS_TEXT.search(piece):
+            if self.cut is not None and (piece.isalpha() or not _AS_TEXT.search(piece)):
                 unseen[piece] = None
                 continue
             s = piece.decode("utf-8", "replace")
             if self.cut is None or "<|" in s or not self.PLAIN.fullmatch(s):
                 self.cache[piece] = self._ids(s).tobytes()
                 continue
-            parts = [p.encode() for p in self.cut(s.lower())]
-            plans.append((piece, parts))
-            unseen.update((p, None) for p in parts if p not in self.cache)
+            low = s.lower()
+            parts = [low.encode()] if low.isalpha() else [p.encode() for p in self.cut(low)]  # letters alone are one pre-token
+            if parts != [piece]:
+                plans.append((piece, parts))
+            for p in parts:
+                if p not in self.cache:
+                    unseen[p] = None
         if unseen:
             words = [w.decode() for w in unseen]
             ids = self._ids(" ".join(words))
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) == len(words):
-                raw = ids.tobytes()
-                self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(unseen, [0, *ends], ends))
+                self.cache.update(zip(unseen, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
             else:
                 self.cache.update((w, self._ids(s).tobytes()) for w, s in zip(unseen, words))
         for piece, parts in plans:

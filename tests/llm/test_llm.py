@@ -358,6 +358,17 @@ def test_jaccard_chains_and_shared_passages(spark):
     assert got == brute_components(rows)
 
 
+def test_library_encoder_takes_letters_whole():
+    """Words of letters alone, accented ones too, are not cut by the pattern; others are, with the library's ids."""
+    coder, calls = packed.LibraryEncoder(PATH), []
+    pieces = coder.cut
+    coder.cut = lambda s: calls.append(s) or pieces(s)
+    texts = ["Müller ÉCOLE café naïve été plain", "don't l'été÷2 ×é9 straße"]
+    got = [x.tolist() for x in coder.encode_all([t.encode() for t in texts])]
+    assert got == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(calls) == sorted(["don't", "l'été÷2", "×é9"])
+
+
 def test_bpe_reads_small_batches(spark, docs, monkeypatch):
     """Whole texts cross to the worker BATCH_ROWS at a time; the session's setting is restored."""
     from tessera.llm import common
