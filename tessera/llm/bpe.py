@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 
 import regex
 
@@ -41,6 +43,14 @@ def byte_alphabet() -> list[str]:
     return table
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class BytePairEncoder:
     """Encoder and decoder of a ``tokenizers`` file of the word-end BPE kind."""
 
@@ -66,7 +76,7 @@ class BytePairEncoder:
         self.pieces = regex.compile(split["pattern"]["Regex"].replace("\\s", space))
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.cache: dict[bytes, bytes] = _Cache(self._pack)
-        self.tokens: dict[str, list[int]] = _Cache(self._merge_word)
+        self.tokens: dict[str, bytes] = _Cache(lambda word: pack_ids(self._merge_word(word)))
 
     def _merge_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -106,22 +116,18 @@ class BytePairEncoder:
                     heapq.heappush(heap, (x >> 20, h, x))
         return [s for s in sym if s >= 0]
 
-    def _ids(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _pack(self, piece: bytes) -> bytes:
+        """Packed ids of a piece; those of a plain word are the pre-token's own object, so both caches hold it once."""
+        text, out = piece.decode("utf-8", "replace"), []
         for k, part in enumerate(self.special_cut.split(text) if self.special_cut else [text]):
             if k % 2:
-                out.append(self.specials[part])
+                out.append(pack_ids([self.specials[part]]))
             elif part.isascii() and part.isalpha():
-                out += self.tokens[part.lower()]
+                out.append(self.tokens[part.lower()])
             elif part:
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # lower case letter by letter: no final sigma
-                for w in self.pieces.findall(low):
-                    out += self.tokens[w]
-        return out
-
-    def _pack(self, piece: bytes) -> bytes:
-        ids = self._ids(piece.decode("utf-8", "replace"))
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+                out += map(self.tokens.__getitem__, self.pieces.findall(low))
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode_packed(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""

@@ -22,6 +22,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import tidy
+
 CHARS_PER_ERROR = 20
 BLOCK_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -164,7 +166,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(t or "") for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -536,4 +538,4 @@ def mask_pii(docs: DataFrame) -> DataFrame:
                 whole[i] = "".join(out) + whole[i][done:]
             yield batch.set_column(at, batch.schema.field(at), pa.array(whole, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

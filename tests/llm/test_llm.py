@@ -518,3 +518,46 @@ def test_urls_awkward(spark):
     assert urls.url_verdicts(pages.where("false"), rules, listed).count() == 0
     made = urls.listed_by_words(spark.createDataFrame([("http://m.casino-win.example.com/x?y",), ("http://casinos.com/",)], "url string"), ("casino",))
     assert [tuple(r) for r in made.collect()] == [("m.casino-win.example.com", "/x", "block")]
+
+
+def test_bpe_caches_hold_packed_ids():
+    """A cached piece costs its packed ids, and a plain word shares them between both caches."""
+    coder = bpe.BytePairEncoder(PATH)
+    words = [f"{a}{b}{c}ation" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    coder.encode_packed(" ".join([*words, "(word)"]).encode())
+    assert all(coder.cache[w.encode()] is coder.tokens[w] for w in words)
+    assert all(type(v) is bytes and len(v) % 4 == 0 for v in [*coder.cache.values(), *coder.tokens.values()])
+    assert coder.encode("(word)") == [i for w in ("(", "word", ")") for i in coder.encode(w)]
+
+
+class Mapped:
+    """Stands in for a DataFrame: keeps the function that tasks would run."""
+
+    def __init__(self, schema=None):
+        self.schema = schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_stages_work_on_few_texts_at_once(spark, monkeypatch):
+    """Masking and decontamination cut the session's batches, and hand memory back once their own is gone."""
+    from tessera.llm import common
+
+    n, released = 2 * common.BATCH_ROWS + 1, []
+    monkeypatch.setattr(common, "release", lambda: released.append(True))
+    monkeypatch.setattr(pii, "_with_spans", lambda docs: lambda: None)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["mail a.b@example.com now"] * (n - 1) + [None])], ["doc_id", "text"])
+    docs = pii.mask_pii(Mapped())
+    got = list(docs.run(iter([batch])))
+    assert [b.num_rows for b in got] == [common.BATCH_ROWS, common.BATCH_ROWS, 1] and released == [True]
+    assert pa.Table.from_batches(got)["text"].to_pylist() == ["mail <email> now"] * (n - 1) + [None]
+    items = spark.createDataFrame([(1, "some words that are nowhere")], "item_id long, text string")
+    fake = Mapped()
+    fake.sparkSession = spark
+    got = list(decontaminate.drop_leaks(fake, items).run(iter([batch])))
+    assert [b.num_rows for b in got] == [common.BATCH_ROWS, common.BATCH_ROWS, 1] and released == [True, True]
