@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _ROWS_CONF, cut, scratch
+from tessera.llm.common import _ROWS_CONF, cut, scratch, tidy
 
 TOP_WORDS, SUFFIXES, CLASSES = 384, 127, 64
 UNITS = TOP_WORDS + SUFFIXES + 1
@@ -62,9 +62,9 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
-def words_of(batch: pa.RecordBatch) -> list[list[bytes]]:
-    """Words of each text; ``bytes`` lower-cases A-Z and splits at ASCII white space only."""
-    return [(t or b"").lower().split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+def words_of(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """Words of each text, one text at a time; ``bytes`` lower-cases A-Z and splits at ASCII white space only."""
+    return ((t.as_py() or b"").lower().split() for t in batch.column("text").cast(pa.binary()))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def frequent_bound(counts: DataFrame) -> int:
@@ -212,16 +212,24 @@ def encode(docs: DataFrame, index) -> DataFrame:
     Those are sorted by bucket (``edges``), with their suffix groups; a place of ``index.size`` + i is the i-th of them.
     """
 
+    def pieces(words, batch):
+        """(b, places of each text) of chunks that end before the batch's text b; ``words`` has the chunk's other words meanwhile."""
+        found, size, b = [], 0, 0
+        for text in words_of(batch):
+            if found and size + len(text) > CHUNK_TOKENS:
+                yield b, found
+                found, size = [], 0
+            found.append(np.fromiter(map(words.__getitem__, text), np.int32, len(text)))
+            size, b = size + len(text), b + 1
+        if found:
+            yield b, found
+
     def run(batches):
         words, row = ChunkIndex(index.value.split()), TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = words_of(batch)
-            upto = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             a = 0
-            while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(upto, upto[a] + CHUNK_TOKENS, "right")) - 1)
-                size = np.diff(upto[a : b + 1])
-                at = np.fromiter(map(words.__getitem__, chain.from_iterable(texts[a:b])), np.int32, int(size.sum()))
+            for b, found in pieces(words, batch):
+                size, at = np.array([len(p) for p in found], np.int64), np.concatenate(found)
                 new = words.take()
                 bucket = np.fromiter(map(zlib.crc32, new), np.int64, len(new)) % BUCKETS
                 order = np.argsort(bucket, kind="stable")
@@ -233,12 +241,12 @@ def encode(docs: DataFrame, index) -> DataFrame:
                 groups = bytes([zlib.crc32(w[-2:]) % SUFFIXES for w in new])
                 edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(k).slice(a, b - a)) for k in ("doc_id", "held_out")]
-                data = [size.astype(np.int64).tobytes(), at.tobytes(), b"\n".join(new), groups, edges.tobytes()]
+                data = [size.tobytes(), at.tobytes(), b"\n".join(new), groups, edges.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in data]], ["chunk", "ids", "held", "sizes", "places", "words", "groups", "edges"])
                 row, a = row + 1, b
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.mapInArrow(run, f"chunk long, ids array<{kind}>, {CHUNK}"))
+    return cut(docs.mapInArrow(tidy(run), f"chunk long, ids array<{kind}>, {CHUNK}"))
 
 
 def numbers(batch: pa.RecordBatch, column: str, i: int, kind) -> np.ndarray:
@@ -270,7 +278,7 @@ def unit_bigrams(chunks: DataFrame, unit) -> np.ndarray:
 
     out = np.zeros(UNITS * UNITS)
     slim = chunks.select("held", "sizes", "places", "groups")
-    for r in slim.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most UNITS * UNITS rows
+    for r in slim.mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most UNITS * UNITS rows
         out[r.k] = r.n
     return out.reshape(UNITS, UNITS)
 
@@ -286,9 +294,9 @@ def best_classes(keys: np.ndarray, n: int, gains: np.ndarray) -> tuple[np.ndarra
     return best, contexts
 
 
-def contexts_of(line: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Keys of the class behind and before each token of ``own``, which are never the first or last, as those are ends."""
-    at = line[own].astype(np.int64) * (2 * CLASSES)
+def contexts_of(places: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Keys of the class behind and before each token of ``own``, whose words have ``places``; none is the first or last, as those are ends."""
+    at = places.astype(np.int64) * (2 * CLASSES)
     return np.concatenate([at + c[own + 1], at + CLASSES + c[own - 1]])
 
 
@@ -299,18 +307,26 @@ def frequent_classes(chunks: DataFrame, first, gains) -> np.ndarray:
     if n <= TOP_WORDS:
         return known
 
+    depth = -(-n // BUCKETS)
+    width = depth * 2 * CLASSES
+
     def count(batches):
+        dealt = (np.arange(n) % BUCKETS * depth + np.arange(n) // BUCKETS).astype(np.int32)  # a bucket's words side by side
         held, size = [], 0
 
         def rows():
-            k, m = np.unique(np.concatenate(held), return_counts=True)
-            part = k // (2 * CLASSES) % BUCKETS
-            order = np.argsort(part, kind="stable")
-            k, m = k[order].astype(np.int64), m[order].astype(np.int64)
-            edges = np.searchsorted(part[order], np.arange(BUCKETS + 1))
-            some = np.flatnonzero(np.diff(edges))
-            pieces = [(k[edges[b] : edges[b + 1]].tobytes(), m[edges[b] : edges[b + 1]].tobytes()) for b in some.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([p for p, _ in pieces], pa.binary()), pa.array([p for _, p in pieces], pa.binary())], ["bucket", "k", "m"])
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).astype(np.int32)
+            m = np.diff(first, append=np.int32(len(keys)))
+            k = keys[first]
+            del keys, first
+            edges = np.searchsorted(k, np.arange(BUCKETS + 1, dtype=np.int32) * np.int32(width)).tolist()
+            some = [b for b in range(BUCKETS) if edges[b] < edges[b + 1]]
+            k %= np.int32(width)
+            columns = [pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()) for x in (k, m)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], ["bucket", "k", "m"])
 
         of_place, of_group = first.value
         for batch in batches:
@@ -318,11 +334,11 @@ def frequent_classes(chunks: DataFrame, first, gains) -> np.ndarray:
                 line = token_line(batch, i)
                 c = np.concatenate([of_place, of_group[numbers(batch, "groups", i, np.uint8)], [CLASSES - 1]])[line]
                 own = np.flatnonzero((line >= TOP_WORDS) & (line < n))
-                held.append(contexts_of(line, c, own).astype(np.int32))
+                held.append(contexts_of(dealt[line[own]], c, own).astype(np.int32))
                 size += len(held[-1])
                 if size > 4 * CHUNK_TOKENS:
                     yield rows()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield rows()
 
@@ -330,17 +346,16 @@ def frequent_classes(chunks: DataFrame, first, gains) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, b in enumerate(batch.column("bucket").to_pylist()):
-                k, m = numbers(batch, "k", i, np.int64), numbers(batch, "m", i, np.int64)
                 if b not in total:
-                    total[b] = np.zeros(((n - b - 1) // BUCKETS + 1, 2 * CLASSES))
-                total[b][k // (2 * CLASSES) // BUCKETS, k % (2 * CLASSES)] += m
+                    total[b] = np.zeros((depth, 2 * CLASSES))
+                total[b].ravel()[numbers(batch, "k", i, np.int32)] += numbers(batch, "m", i, np.int32)
         for b, dense in total.items():
             w = np.flatnonzero(dense.any(axis=1))
             best = (dense[w] @ gains.value).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(w * BUCKETS + b, pa.int32()), pa.array(best, pa.int32())], ["w", "c"])
 
-    counted = chunks.select("held", "sizes", "places", "groups").mapInArrow(count, "bucket int, k binary, m binary")
-    chosen = counted.repartition("bucket").mapInArrow(choose, "w int, c int").toArrow()  # at most FREQUENT rows
+    counted = chunks.select("held", "sizes", "places", "groups").mapInArrow(tidy(count), "bucket int, k binary, m binary")
+    chosen = counted.repartition("bucket").mapInArrow(tidy(choose), "w int, c int").toArrow()  # at most FREQUENT rows
     out = known.copy()
     out[chosen["w"].to_numpy()] = chosen["c"].to_numpy()
     return out
@@ -359,7 +374,8 @@ def other_classes(chunks: DataFrame, first, gains) -> DataFrame:
             for i, chunk in enumerate(batch.column("chunk").to_pylist()):
                 edges, line = numbers(batch, "edges", i, np.int32).astype(np.int64), token_line(batch, i)
                 c = np.concatenate([of_place, of_group[numbers(batch, "groups", i, np.uint8)], [CLASSES - 1]])[line]
-                keys = np.sort(contexts_of(line, c, np.flatnonzero(line >= n)) - n * 2 * CLASSES)
+                own = np.flatnonzero(line >= n)
+                keys = np.sort(contexts_of(line[own] - n, c, own))
                 cuts = np.searchsorted(keys, edges * (2 * CLASSES)).tolist()
                 words = batch.column("words")[i].as_py().split(b"\n")
                 at = edges.tolist()
@@ -388,8 +404,8 @@ def other_classes(chunks: DataFrame, first, gains) -> DataFrame:
             counts = [b"", *[c[o].tobytes() for o in own]]
             yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([b] * len(chunk), pa.int32()), pa.array(classes, pa.binary()), pa.array(counts, pa.binary())], ["chunk", "bucket", "classes", "counts"])
 
-    counted = chunks.select("chunk", "held", "sizes", "places", "words", "groups", "edges").mapInArrow(count, "chunk long, bucket int, words binary, keys binary")
-    return cut(counted.repartition("bucket").mapInArrow(choose, "chunk long, bucket int, classes binary, counts binary"))
+    counted = chunks.select("chunk", "held", "sizes", "places", "words", "groups", "edges").mapInArrow(tidy(count), "chunk long, bucket int, words binary, keys binary")
+    return cut(counted.repartition("bucket").mapInArrow(tidy(choose), "chunk long, bucket int, classes binary, counts binary"))
 
 
 def classed(chunks: DataFrame, others: DataFrame, final, of_group, logs) -> DataFrame:
@@ -418,7 +434,7 @@ def classed(chunks: DataFrame, others: DataFrame, final, of_group, logs) -> Data
     parts = others.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "classes", "counts")).alias("parts"))  # at most BUCKETS a chunk
     kind = chunks.schema["ids"].dataType.simpleString()
     joined = chunks.drop("words").join(parts, "chunk", "left")
-    return cut(joined.mapInArrow(run, f"ids {kind}, held array<boolean>, sizes binary, classes binary, seen binary, known binary"))
+    return cut(joined.mapInArrow(tidy(run), f"ids {kind}, held array<boolean>, sizes binary, classes binary, seen binary, known binary"))
 
 
 def text_ends(size: np.ndarray) -> np.ndarray:
@@ -451,7 +467,7 @@ def class_pairs(chunks: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
 
     out = np.zeros(CLASSES * CLASSES)
-    for r in chunks.select("held", "sizes", "classes").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # CLASSES * CLASSES rows
+    for r in chunks.select("held", "sizes", "classes").mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # CLASSES * CLASSES rows
         out[r.k] = r.n
     return out.reshape(CLASSES, CLASSES)
 
@@ -512,4 +528,4 @@ def _lm_scores(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten(), batch.column("held").slice(i, 1).flatten(), *[pa.array(x) for x in data]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(scored.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"), keep=True)
+    return cut(scored.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"), keep=True)

@@ -561,3 +561,83 @@ def test_stages_work_on_few_texts_at_once(spark, monkeypatch):
     fake.sparkSession = spark
     got = list(decontaminate.drop_leaks(fake, items).run(iter([batch])))
     assert [b.num_rows for b in got] == [common.BATCH_ROWS, common.BATCH_ROWS, 1] and released == [True, True]
+
+
+def traced(work):
+    """What ``work`` returns, and the most bytes that Python and numpy held meanwhile."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_chunks_hold_no_word_lists(monkeypatch):
+    """A task's words become numbers text by text: it never holds an object for each token."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(lm, "cut", lambda df: df)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 150_000)
+    monkeypatch.setattr(lm.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"word{i}" for i in r.integers(0, 900, 300)) for _ in range(1_500)] + [None, ""]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array([False] * n)], ["doc_id", "text", "held_out"])
+    words = [b"word%d" % i for i in range(800)]
+    docs = Mapped({"doc_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))})
+    run = lm.encode(docs, SimpleNamespace(value=b"\n".join(words))).run
+    got, peak = traced(lambda: list(run(iter([batch]))))
+    assert peak < 20 * 1_500 * 300
+    back = []
+    for b in got:
+        names = [*words, *b.column("words")[0].as_py().split(b"\n")]
+        places = lm.numbers(b, "places", 0, np.int32).tolist()
+        for size in lm.numbers(b, "sizes", 0, np.int64).tolist():
+            back.append(b" ".join(names[p] for p in places[:size]).decode())
+            places = places[size:]
+    assert back == [t or "" for t in texts] and sum(b.column("ids")[0].as_py() == [] for b in got) == 0
+    assert [len(b.column("ids")[0].as_py()) for b in got] == [500, 500, 502]
+
+
+def test_lm_contexts_are_counted_in_place(monkeypatch):
+    """A task's context keys are sorted and dealt to buckets without copies of several times their size."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 200_000)
+    r = np.random.default_rng(5)
+    n, size = 5_000, 200_000
+    of_place, of_group = r.integers(0, lm.CLASSES - 1, n), r.integers(0, lm.CLASSES - 1, lm.SUFFIXES)
+    batches = []
+    for _ in range(6):
+        places = r.integers(0, n, size).astype(np.int32)
+        data = [np.array([size], np.int64).tobytes(), places.tobytes(), b""]
+        batches.append(pa.RecordBatch.from_arrays([pa.array([[False]]), *[pa.array([x], pa.binary()) for x in data]], ["held", "sizes", "places", "groups"]))
+    runs = []
+
+    class Counted(Mapped):
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+            return self
+
+        def repartition(self, column):
+            return self
+
+        def toArrow(self):
+            rows, self.peak = traced(lambda: list(runs[0](iter(batches))))
+            return pa.Table.from_batches(list(runs[1](iter(rows))))
+
+    chunks = Counted()
+    gains = lm.context_gains(r.integers(1, 50, (lm.CLASSES, lm.CLASSES)).astype(float))
+    gains[np.isinf(gains)] = -1e12
+    got = lm.frequent_classes(chunks, SimpleNamespace(value=(of_place, of_group)), SimpleNamespace(value=gains))
+    dense = np.zeros((n, 2 * lm.CLASSES))
+    for b in batches:
+        p = lm.numbers(b, "places", 0, np.int32)
+        c = np.concatenate([[lm.CLASSES - 1], of_place[p], [lm.CLASSES - 1]])
+        np.add.at(dense, (p, c[2:]), 1)
+        np.add.at(dense, (p, lm.CLASSES + c[:-2]), 1)
+    want = np.where((np.arange(n) >= lm.TOP_WORDS) & dense.any(axis=1), (dense @ gains).argmax(axis=1), of_place)
+    assert (got == want).all()
+    assert chunks.peak < 24_000_000, chunks.peak
