@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import encoder
+from tessera.llm.bpe import byte_alphabet, encoder
 from tessera.llm.common import cut, fresh_folder  # noqa: F401
 
 MAGIC, BLOCK = b"TPK1", 8192
@@ -155,84 +156,159 @@ def _byte_classes() -> np.ndarray:
     return out
 
 
-_CLASS = _byte_classes()
+#: Characters that are their own NFC, before and after lower-casing.
+_PLAIN = "!-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e"
+
+
+def _accented() -> np.ndarray:
+    """For the lead bytes C3 to C5 and each byte after them: the two bytes of a plain letter's lower case, 0 for others."""
+    out = np.zeros((3, 256), np.uint16)
+    for ch in map(chr, range(0xC0, 0x180)):
+        if ch.isalpha() and re.fullmatch(f"[{_PLAIN}]", ch):
+            lead, after = ch.encode()
+            out[lead - 0xC3, after] = int.from_bytes(ch.lower().encode(), "big")
+    return out
+
+
+_CLASS, _ACCENTED = _byte_classes(), _accented()
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_AS_TEXT = re.compile(rb"[^!-~]|['<]")
+#: Code points of the bytes' stand-ins in the vocabulary; a space stays one.
+_STAND_IN = np.array([ord(c) for c in byte_alphabet()], "<u4")
+_STAND_IN[0x20] = 0x20
 
 
 class LibraryEncoder:
     """Ids of texts by the tokenizers library, each distinct pre-token encoded once.
 
-    A group of texts is cut with numpy: runs of letters, single digits and runs
-    of other ASCII characters are pre-tokens. Words with any other byte, an
-    apostrophe or ``<`` (contractions, special tokens) stay whole and are cut
-    as text, or go to the library as they are. Distinct pieces come from
-    Arrow's dictionary encoding; those not in the bounded cache are encoded in
-    one call, separated by spaces, and the end-of-word tokens tell their ids
-    apart (if they don't, the library encodes each by itself).
+    A group of texts is cut with numpy: runs of letters (ASCII and Latin ones
+    with accents), single digits and runs of other ASCII characters are
+    pre-tokens. Words with any other byte, an apostrophe or ``<``
+    (contractions, special tokens) stay whole and are cut as text, or go to
+    the library as they are. Distinct pieces come from Arrow's dictionary
+    encoding; those not in the bounded cache are encoded in one call,
+    separated by spaces, and the end-of-word tokens tell their ids apart (if
+    they don't, the library encodes each by itself). As such pieces are
+    normalised pre-tokens already, that call goes to the library's model without
+    the file's normalizer, and only the spaces cut. The cache names the range
+    of a piece's ids in one array; when full, it keeps what more than one
+    group had since it was last full.
     """
 
     CACHED, GROUP_BYTES = 600_000, 4_000_000
-    #: Characters that are their own NFC, before and after lower-casing.
-    PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+")
+    PLAIN = re.compile(f"[{_PLAIN}]+")
+    #: A range is its first position times 2**BITS, plus its length.
+    BITS = 31
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.bare = Tokenizer(self.library.model)  # the same model, held once
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.vocabulary = self.library.get_vocab_size()
         own = encoder(path)
         self.cut = own.pieces.findall if own.end else None
         self.last = np.array([s.endswith(own.end) and bool(own.end) for s in own.strings])
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[bytes, int] = {}
+        self.pool, self.filled = np.empty(1 << 16, np.uint32), 0
+        self.again = np.zeros(len(self.pool) + 1, bool)  # by first position: found by a later group
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, new: list[bytes]) -> None:
-        plans, unseen = [], {}
-        for piece in new:
-            if self.cut is not None and (piece.isalpha() or not _AS_TEXT.search(piece)):
-                unseen[piece] = None
-                continue
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _pretoken_ids(self, words: bytes) -> np.ndarray:
+        """Ids of pre-tokens in normal form, separated by spaces."""
+        text = _STAND_IN[np.frombuffer(words, np.uint8)].tobytes().decode("utf-32-le")
+        return np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _keep(self, pieces, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Caches the ids of pieces, laid end to end."""
+        if self.filled + len(ids) > len(self.pool):
+            more = max(self.filled, len(ids)) + len(ids)
+            self.pool = np.concatenate([self.pool[: self.filled], np.empty(more, np.uint32)])
+            self.again = np.concatenate([self.again[: self.filled + 1], np.zeros(more, bool)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        size = np.diff(ends, prepend=0)
+        self.cache.update(zip(pieces, ((self.filled + ends - size << self.BITS) + size).tolist()))
+        self.filled += len(ids)
+
+    def _keep_each(self, texts: dict[bytes, str]) -> None:
+        """Has the library encode each text by itself."""
+        each = [self._ids(s) for s in texts.values()]
+        if each:
+            self._keep(texts, np.concatenate(each), np.cumsum([len(ids) for ids in each], dtype=np.int64))
+
+    def _gather(self, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ranges of the pool end to end, and the bounds of each."""
+        size, upto = (ranges & (1 << self.BITS) - 1).astype(np.int32), np.zeros(len(ranges) + 1, np.int32)
+        np.cumsum(size, out=upto[1:])
+        return self.pool[np.repeat((ranges >> self.BITS).astype(np.int32) - upto[:-1], size) + np.arange(upto[-1], dtype=np.int32)], upto
+
+    def _trim(self) -> None:
+        """Forgets the pieces that one group alone had, or all if that is not half of them."""
+        ranges = np.fromiter(self.cache.values(), np.int64, len(self.cache))
+        often = self.again[ranges >> self.BITS]
+        if 2 * np.count_nonzero(often) > len(often):
+            often[:] = False
+        pieces = list(compress(self.cache, often.tolist()))
+        ids, upto = self._gather(ranges[often])
+        self.cache, self.filled = {}, 0
+        self.again[:] = False
+        self._keep(pieces, ids, upto[1:].astype(np.int64))
+
+    def _learn(self, plain: list[bytes], whole: list[bytes]) -> None:
+        """Caches new pieces: pre-tokens in normal form, and words to be cut as text."""
+        if self.cut is None:
+            self._keep_each({piece: piece.decode("utf-8", "replace") for piece in plain + whole})
+            return
+        unseen, plans, alone = dict.fromkeys(plain), {}, {}
+        for piece in whole:
             s = piece.decode("utf-8", "replace")
-            if self.cut is None or "<|" in s or not self.PLAIN.fullmatch(s):
-                self.cache[piece] = self._ids(s).tobytes()
+            if "<|" in s or not self.PLAIN.fullmatch(s):
+                alone[piece] = s
                 continue
             low = s.lower()
             parts = [low.encode()] if low.isalpha() else [p.encode() for p in self.cut(low)]  # letters alone are one pre-token
             if parts != [piece]:
-                plans.append((piece, parts))
+                plans[piece] = parts
             for p in parts:
                 if p not in self.cache:
                     unseen[p] = None
         if unseen:
-            words = [w.decode() for w in unseen]
-            ids = self._ids(" ".join(words))
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) == len(words):
-                self.cache.update(zip(unseen, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
+            ids = self._pretoken_ids(b" ".join(unseen))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(unseen):
+                self._keep(unseen, ids, ends)
             else:
-                self.cache.update((w, self._ids(s).tobytes()) for w, s in zip(unseen, words))
-        for piece, parts in plans:
-            self.cache[piece] = b"".join([self.cache[p] for p in parts])
+                self._keep_each({piece: piece.decode() for piece in unseen})
+        self._keep_each(alone)
+        if plans:
+            ids, upto = self._gather(np.array([self.cache[p] for parts in plans.values() for p in parts], np.int64))
+            self._keep(plans, ids, upto[np.cumsum([len(parts) for parts in plans.values()])].astype(np.int64))
 
     def _group(self, texts: list[bytes]):
         buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        cls = _CLASS[buf]
+        cls, low = _CLASS[buf], _LOWER[buf]
+        lead = np.flatnonzero(buf - np.uint8(0xC3) < 3)
+        if len(lead):
+            letter = _ACCENTED[buf[lead] - np.uint8(0xC3), buf[lead + 1]]
+            lead, letter = lead[letter > 0], letter[letter > 0]
+            cls[lead] = cls[lead + 1] = 1
+            low[lead], low[lead + 1] = letter >> 8, letter & 255
+        inside = cls != 0
         cuts = np.empty(len(buf), bool)
-        cuts[0] = cls[0] != 0
+        cuts[0] = inside[0]
         np.not_equal(cls[1:], cls[:-1], out=cuts[1:])
-        cuts &= cls != 0
+        cuts &= inside
         cuts |= cls == 2
-        low = _LOWER[buf]
         at = np.flatnonzero(cuts).astype(np.int32)
         if not len(at):
             yield from (np.zeros(0, np.uint32) for _ in texts)
             return
         slow = cls[at] == 4
+        whole = None
         if slow.any():
             begins = at == 0
             begins |= cls[at - 1] == 0
@@ -245,21 +321,25 @@ class LibraryEncoder:
             size = np.diff(at, append=np.int32(len(buf)))[whole]
             back = np.repeat(at[whole] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             low[back] = buf[back]  # as they are, for the library to normalise
-        offsets = np.append(at, np.int32(len(buf)))
+        low = low[inside]  # without white space, a piece is the same bytes whatever follows it
+        offsets = np.append(np.cumsum(inside, dtype=np.int32)[at] - np.int32(1), np.int32(len(low)))
         coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
         _, edges, data = coded.dictionary.buffers()
-        edges, data = np.frombuffer(edges, np.int32, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
-        pieces = [data[a:b].rstrip() for a, b in zip(edges, edges[1:])]
+        edges, data, index = np.frombuffer(edges, np.int32, len(coded.dictionary) + 1).tolist(), data.to_pybytes(), coded.indices.to_numpy()
+        pieces = [data[a:b] for a, b in zip(edges, edges[1:])]
         if len(self.cache) > self.CACHED:
-            self.cache.clear()
-        self._learn([p for p in dict.fromkeys(pieces) if p not in self.cache])
-        values = list(map(self.cache.__getitem__, pieces))
-        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
-        pool, first, index = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size, dtype=np.int32) - size, coded.indices.to_numpy()
-        each = size[index]
-        upto = np.zeros(len(each) + 1, np.int32)
-        np.cumsum(each, out=upto[1:])
-        ids = pool[np.repeat(first[index] - upto[:-1], each) + np.arange(upto[-1], dtype=np.int32)]
+            self._trim()
+        ranges = np.fromiter(map(self.cache.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(ranges < 0)
+        self.again[ranges[ranges >= 0] >> self.BITS] = True
+        if len(new):
+            as_text = np.zeros(len(pieces), bool)
+            if whole is not None:
+                as_text[index[whole]] = True
+            as_text = as_text[new]
+            self._learn([pieces[i] for i in new[~as_text].tolist()], [pieces[i] for i in new[as_text].tolist()])
+            ranges[new] = np.fromiter((self.cache[pieces[i]] for i in new.tolist()), np.int64, len(new))
+        ids, upto = self._gather(ranges[index])
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         edges = upto[np.searchsorted(at, starts)].tolist()
         yield from (ids[a:b] for a, b in zip(edges, edges[1:]))

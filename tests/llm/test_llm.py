@@ -369,6 +369,38 @@ def test_library_encoder_takes_letters_whole():
     assert sorted(calls) == sorted(["don't", "l'été÷2", "×é9"])
 
 
+def test_library_encoder_cuts_accented_letters_with_the_others():
+    """Accented Latin letters beside punctuation and digits need neither the pattern nor the library's normalizer."""
+    coder, calls = packed.LibraryEncoder(PATH), []
+    pieces, ids = coder.cut, coder._ids
+    coder.cut = lambda s: calls.append(s) or pieces(s)
+    coder._ids = lambda s: calls.append(s) or ids(s)
+    texts = ["Müller, ÉCOLE. (café) naïve2été ŸŁódź!!", "straße,***ñ", ""]
+    got = [x.tolist() for x in coder.encode_all([t.encode() for t in texts])]
+    assert got == [coder.library.encode(t, add_special_tokens=False).ids for t in texts] and not calls
+    letters = [chr(c) for c in [*range(0x21, 0x250), 0x301, 0x308, 0x345, 0x2009, 0x1E9E, 0x4E00] if not 0x7F <= c < 0xA0]
+    texts = [form % ch for ch in letters for form in ("%s", "a%sb", "É%sß")] + [f"e\u0301{ch} {ch}\u0301,{ch}" for ch in letters]
+    got = [x.tolist() for x in coder.encode_all([t.encode() for t in texts])]
+    assert got == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_library_encoder_keeps_repeated_pieces():
+    """A full cache forgets what one group alone had, and stays bounded when all is repeated."""
+    coder, learned = packed.LibraryEncoder(PATH), []
+    coder.CACHED, learn = 50, coder._learn
+    coder._learn = lambda *new: learned.extend(piece for some in new for piece in some) or learn(*new)
+    letters, common = "abcdefghij", "the common Étés don't l'été <|endoftext|> 7"
+    for i in range(60):
+        text = common + " " + " ".join(f"{letters[i // 10]}{letters[i % 10]}q{letters[k]}z" for k in range(10))
+        assert [x.tolist() for x in coder.encode_all([text.encode()])] == [coder.library.encode(text, add_special_tokens=False).ids]
+        assert len(coder.cache) <= 50 + 20
+    assert max(Counter(learned).values()) == 1
+    words = " ".join(f"{a}{b}w" for a in letters for b in letters)
+    for _ in range(5):
+        assert [x.tolist() for x in coder.encode_all([words.encode()])] == [coder.library.encode(words, add_special_tokens=False).ids]
+        assert len(coder.cache) <= 50 + 120
+
+
 def test_bpe_reads_small_batches(spark, docs, monkeypatch):
     """Whole texts cross to the worker BATCH_ROWS at a time; the session's setting is restored."""
     from tessera.llm import common
