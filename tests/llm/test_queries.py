@@ -219,6 +219,30 @@ def test_exchange_ends_where_no_move_helps():
             assert likelihood(moved) <= best + 1e-6
 
 
+#: The rules of op9's contract.
+CONTRACT = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def test_url_rules_are_the_contracts(spark, tmp_path):
+    odd = ["http://a.net/de/1", "http://net/de/", "http://casino-win.example.net/de/7", "HTTP://WWW.Example.NET/de/8?x", "http://notexample.net/de/8", "http://example.net/de/9#/de/8", "http://a.net/DE/1", "http://.net/de/", "http://a.net./de/1", "http://a.net:80/de/1"]
+    odd += ["http://x.com/en/7", "http://example.com/en/7", "http://spam.example.com/en/71", "http://spam.example.com/en/8", "http://a.com?/en/", "http://x.org/es/", "http://org/es", "http://ads.org/xx/", "x://y://a.net/de/", "://net/de/\nz", "http://", "no scheme", "", None]
+    pages = spark.createDataFrame(list(enumerate(odd)), "page_id long, url string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == len(odd)
+    for i, url in enumerate(odd):
+        rest = url.partition("://")[2] if url else ""
+        raw, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = raw.translate({c: c + 32 for c in range(65, 91)})
+        fits = [r for r in CONTRACT if ("." + host).endswith("." + r[0]) and path.startswith(r[1])]
+        best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, best and best[0] + best[1]), url
+        assert best is None or got[i].verdict == best[2], url
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert set(con.sql(queries.ORACLES["op9_url_filter"]).fetchall()) == {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.values()}
+
+
 def test_empty_tables(spark):
     from tessera.llm import jaccard, urls
 
