@@ -130,6 +130,37 @@ def test_bundles_make_no_row_for_each_bit(spark):
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_closeness_makes_no_row_for_each_pair(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    pairs = {(f"n{a}", f"n{b}") for a, b in r.integers(0, 150, (220, 2))} | {(f"c{i}", f"c{i + 1}") for i in range(100)} | {("hub", f"n{i}") for i in range(150)}
+    pairs |= {(f"c{i}", "hub") for i in range(0, 100, 9)}
+    edges = spark.createDataFrame([*sorted(pairs), ("n1", None), (None, "c7"), ("n3", "n3"), *list(pairs)[:40]], "src string, dst string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    names = {x for p in pairs for x in p}
+    want = {None: 0.0}  # a null end of an edge counts as a node that reaches nothing
+    for s in names:
+        seen, front, depth, total = {s}, {s}, 0, 0
+        while front:
+            depth += 1
+            front = {b for a in front for b in near.get(a, ())} - seen
+            seen |= front
+            total += depth * len(front)
+        want[s] = round(len(names) / total, 9) if total else 0.0
+    joined = graph.all_pairs
+    monkeypatch.setattr(graph, "all_pairs", None)
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    assert {x.node: round(x.closeness, 9) for x in graph.closeness(edges).collect()} == want
+    assert graph.closeness(edges.where("false")).count() == 0
+    monkeypatch.setattr(graph, "all_pairs", joined)
+    monkeypatch.setattr(graph, "MAX_CLOSENESS_EDGES", 0)
+    few = edges.where("src < 'c2'")
+    sums = {x.node: x.d for x in graph.distance_sums(few).collect()}
+    monkeypatch.setattr(graph, "MAX_CLOSENESS_EDGES", 10_000)
+    assert {x.node: x.d for x in graph.distance_sums(few).collect()} == sums and sums
+
+
 def test_rewrites(spark):
     assert "valid_from <= 5" in rewrite("SELECT * FROM t AS OF 5")
     spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "k int, v int").createOrReplaceTempView("q_t")
