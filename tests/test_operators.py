@@ -161,6 +161,24 @@ def test_closeness_makes_no_row_for_each_pair(spark, monkeypatch):
     assert {x.node: x.d for x in graph.distance_sums(few).collect()} == sums and sums
 
 
+def test_minhash_ships_no_trigrams_with_pairs(spark, monkeypatch):
+    sets = [np.unique(np.random.default_rng(i).integers(0, 2**24, n).astype(np.uint64)) for i, n in enumerate((1, 200, 300, 5000))]
+    for g in sets:
+        assert search._unpacked(search._packed(g)).tolist() == g.tolist()
+    wide, narrow = (np.frombuffer(search._parity(sets[i]), np.uint64) for i in (2, 1))
+    assert len(wide) == 2 * len(narrow)
+    x, y = set(sets[2].tolist()), set(sets[1].tolist())
+    assert np.bitwise_count((wide[:4] ^ wide[4:]) ^ narrow).sum() <= len(x ^ y)
+    docs = [(i, f"a sentence about the harbour and its {i % 7} boats, told once more and at length " * 3 + str(i)) for i in range(40)]
+    df = search.minhash_near_duplicates(spark.createDataFrame(docs, "id long, t string"), "id", "t", 0.8)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "jaccard(" not in plan
+    gram = lambda t: {t[k : k + 3] for k in range(len(t) - 2)}
+    true = {(a, b) for a, s in docs for b, t in docs if a < b and gram(s) != gram(t) and len(gram(s) & gram(t)) >= 0.8 * len(gram(s) | gram(t))}
+    rows = [(r.a, r.b) for r in df.where("similarity < 1").collect()]
+    assert len(set(rows)) == len(rows) and set(rows) <= true and len(rows) >= 0.9 * len(true)
+
+
 def test_rewrites(spark):
     assert "valid_from <= 5" in rewrite("SELECT * FROM t AS OF 5")
     spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "k int, v int").createOrReplaceTempView("q_t")
